@@ -16,6 +16,41 @@ NUMBER = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 INFINITY = float("inf")
 
 
+def col(c: Column | str) -> Column:
+    return F.col(f"`{c}`") if isinstance(c, str) else c
+
+
+def strip(c: Column | str) -> Column:
+    return F.btrim(col(c), F.lit(BLANKS))
+
+
+# Group 1 is the stripped text, unless that text is one of the missing markers.
+_WORDS = "|".join(m for m in fv.MISSING_MARKERS if m)
+MARKED = rf"(?Us)^\s*(?!(?i:{_WORDS})\s*$)(\S(?:.*\S)?)\s*$"
+
+
+def _found(c: Column | str, pattern: str) -> Column:
+    """Group 1 of a pattern, null where it does not match; the input is used once.
+
+    Long cleaning chains stay small in generated code this way. Names take the
+    SQL form, which spares the many calls of building it piece by piece.
+    """
+    if isinstance(c, str):
+        return F.expr(f"nullif(regexp_extract(`{c}`, r'{pattern}', 1), '')")
+    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+
+
+def clean_marker(c: Column | str) -> Column:
+    """Stripped text, or null where it is one of the missing markers."""
+    return _found(c, MARKED)
+
+
+# One number, blanks around it allowed; group 1 is the number.
+NUMBER = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+
+INFINITY = float("inf")
+
+
 def col(c: Column | str) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
@@ -37,11 +72,8 @@ def finite(c: Column) -> Column:
 
 
 def to_number(c: Column | str) -> Column:
-    """A finite double from text, or null; never raises.
-
-    The input is referenced once, so nested cleaning stays small in generated code.
-    """
-    number = F.regexp_extract(col(c), NUMBER, 1).try_cast("double")
+    """A finite double from text, or null; never raises."""
+    number = _found(c, NUMBER).try_cast("double")
     return F.nullif(F.nullif(number, F.lit(INFINITY)), F.lit(-INFINITY))
 
 
@@ -85,3 +117,17 @@ def plain_code(c: Column | str) -> Column:
     value = to_number(text)
     integral = (value == F.floor(value)) & (F.abs(value) < 1e15)
     return F.when(integral, value.cast("bigint").cast("string")).otherwise(text)
+
+
+# An integer with optional sign, leading zeros and zero fraction.
+INTEGRAL = r"^\s*\+?(-?)0*([0-9]+?)(?:\.0*)?\s*$"
+
+
+def category(c: Column | str) -> Column:
+    """`plain_code` for ordinary code columns, as one replacement per value.
+
+    Exponents are left as they are.
+    """
+    if isinstance(c, str):
+        return F.expr(f"regexp_replace(string(`{c}`), r'{INTEGRAL}', '$1$2')")
+    return F.regexp_replace(c.cast("string"), INTEGRAL, "$1$2")

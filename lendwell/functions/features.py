@@ -6,17 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
-from lendwell.functions.cleaning import col, finite, plain_code, strip, to_number
+from lendwell.functions.cleaning import category, finite, plain_code
 
 
-def dti_band(c: Column | str) -> Column:
-    """Published band of a debt-to-income value, given as band text or number."""
-    text = strip(col(c).cast("string"))
+def dti_band(text: Column, value: Column) -> Column:
+    """Published band of a debt-to-income value: by its text, else by its number.
+
+    Both inputs are used several times, so give columns, not long expressions.
+    """
     band = None
     for published, name in fv.DTI_BANDS.items():
         hit = text == published
         band = F.when(hit, name) if band is None else band.when(hit, name)
-    value = to_number(text)
     for edge, name in fv.DTI_EDGES:
         band = band.when(value < edge, name)
     edge, name = fv.DTI_CLOSED_EDGE
@@ -30,12 +31,8 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 def flag_value(c: Column | str) -> Column:
     """Yes/no code as 1/0; other codes are unknown."""
-    code = plain_code(c)
-    return F.when(code == "1", 1.0).when(code == "2", 0.0)
-
-
-def category(c: Column | str) -> Column:
-    return plain_code(c)
+    values = F.create_map(F.lit("1"), F.lit(1.0), F.lit("2"), F.lit(0.0))
+    return F.element_at(values, category(c))
 
 
 def code_label(feature: str, c: Column | str) -> Column:

@@ -12,14 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
-from lendwell.functions.cleaning import number_of
-from lendwell.functions.features import category, dti_band, flag_value, safe_ratio
+from lendwell.functions.cleaning import category, number_of, strip, to_number
+from lendwell.functions.features import dti_band, flag_value, safe_ratio
 from lendwell.operators.contracts import require_predictors
 
 
-def feature_expressions(types: dict[str, str]) -> dict[str, Column]:
-    """Nine numeric and eleven categorical features from columns of the given types."""
-    number = {c: number_of(c, types[c]) for c in fv.NUMERIC_COLUMNS}
+DTI_TEXT, DTI_NUMBER = "_dti_text", "_dti_number"
+
+
+def with_parsed(df: DataFrame) -> DataFrame:
+    """Parsed numbers as columns of their own, so each value is parsed once."""
+    types = dict(df.dtypes)
+    dti = F.col("debt_to_income_ratio").cast("string")
+    parsed = {f"_{c}": number_of(c, types[c]) for c in fv.NUMERIC_COLUMNS}
+    return df.withColumns({**parsed, DTI_TEXT: strip(dti), DTI_NUMBER: to_number(dti)})
+
+
+def feature_expressions() -> dict[str, Column]:
+    """Nine numeric and eleven categorical features of a frame from `with_parsed`."""
+    number = {c: F.col(f"_{c}") for c in fv.NUMERIC_COLUMNS}
     annual = number["income"] * 1000.0
     numeric = {
         "income": number["income"],
@@ -34,24 +45,25 @@ def feature_expressions(types: dict[str, str]) -> dict[str, Column]:
             flag_value("interest_only_payment") + flag_value("balloon_payment")
         ),
     }
+    band = dti_band(F.col(DTI_TEXT), F.col(DTI_NUMBER))
     codes = {
-        name: dti_band("debt_to_income_ratio") if name == "dti_category" else category(name)
+        name: band if name == "dti_category" else category(name)
         for name in fv.FEATURE_CATEGORICAL
     }
     return {c: numeric[c] for c in fv.FEATURE_NUMERIC} | codes
 
 
 def engineer(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The 20 features of each row; one projection, no shuffle."""
+    """The 20 features of each row; projections only, no shuffle."""
     require_predictors([c for c in df.columns if c not in keep])
-    features = feature_expressions(dict(df.dtypes))
-    return df.select(*keep, *(c.alias(name) for name, c in features.items()))
+    features = feature_expressions()
+    return with_parsed(df).select(*keep, *(c.alias(name) for name, c in features.items()))
 
 
-def engineered_struct(df: DataFrame) -> Column:
-    """The 20 features as one struct, for keeping them beside the raw predictors."""
-    features = feature_expressions(dict(df.dtypes))
-    return F.struct(*(c.alias(name) for name, c in features.items()))
+def with_engineered(df: DataFrame, output: str = "engineered") -> DataFrame:
+    """Add the 20 features as one struct beside the raw predictors."""
+    features = F.struct(*(c.alias(name) for name, c in feature_expressions().items()))
+    return with_parsed(df).select(*df.columns, features.alias(output))
 
 
 CONFIGURATIONS = ("full", "without_workflow_features")

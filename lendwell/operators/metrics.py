@@ -163,17 +163,15 @@ def require_runs(runs: DataFrame) -> DataFrame:
 
 
 def robustness_delta(runs: DataFrame) -> DataFrame:
-    """Robustness run minus baseline run of each family."""
+    """Robustness run minus baseline run of each family that has both; one pass."""
     names = ("cv_f1_mean", "cv_average_precision_mean", "cv_roc_auc_mean")
-    full = runs.where(F.col("stage") == "baseline").select(
-        "model_family", F.col("run_name").alias("full_run"), *(F.col(n).alias(f"f_{n}") for n in names)
-    )
-    robust = runs.where(F.col("stage") == "robustness").select(
-        "model_family", F.col("run_name").alias("robust_run"), *names
-    )
-    return full.join(robust, "model_family").select(
-        "model_family",
-        "full_run",
-        "robust_run",
-        *((F.col(n) - F.col(f"f_{n}")).alias(f"delta_{n}") for n in names),
+
+    def of(stage: str, c: str) -> Column:
+        return F.max(F.when(F.col("stage") == stage, F.col(c)))
+
+    table = runs.groupBy("model_family").agg(
+        of("baseline", "run_name").alias("full_run"),
+        of("robustness", "run_name").alias("robust_run"),
+        *((of("robustness", n) - of("baseline", n)).alias(f"delta_{n}") for n in names),
     )
+    return table.where(F.col("full_run").isNotNull() & F.col("robust_run").isNotNull())

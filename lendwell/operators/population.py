@@ -38,18 +38,19 @@ def eligible_population(register: DataFrame, clean: bool = False) -> DataFrame:
     return register.where(is_eligible(clean))
 
 
-def normalize(register: DataFrame, keep: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+def normalize(register: DataFrame, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """Curated columns of eligible rows: renamed, cleaned, typed, with the target.
 
-    `strict` fails on text in a numeric column of an eligible row; otherwise it
-    becomes null (see `numeric_rejects`). Eligible rows have one of the mapped
+    Text in a numeric column becomes null; `require_numbers` and `numeric_rejects`
+    find it beforehand, and `strict` makes the task fail on it. Eligible rows have one of the mapped
     actions; other rows get a null target, which the table contract refuses.
     """
     columns = []
+    eligible = is_eligible() if strict else None
     for name in (*fv.PREDICTORS, *fv.AUDIT_ONLY):
         source = fv.REGISTER_NAME.get(name, name)
         if name in fv.NUMERIC_COLUMNS:
-            value = strict_number(source, name, is_eligible()) if strict else to_number(source)
+            value = strict_number(source, name, eligible) if strict else to_number(source)
         else:
             value = clean_marker(source)
             if name in fv.NOT_REPORTED_CODE:
@@ -72,6 +73,17 @@ def numeric_rejects(register: DataFrame, key: str, columns: tuple[str, ...]) ->
     )
 
 
+REGISTER_NUMBERS = tuple(fv.REGISTER_NAME.get(c, c) for c in fv.NUMERIC_COLUMNS)
+
+
+def require_numbers(register: DataFrame, columns: tuple[str, ...] = REGISTER_NUMBERS) -> None:
+    """Raise where a numeric column of the register holds text; one aggregate."""
+    bad = register.agg(*(F.count_if(is_bad_number(c)).alias(c) for c in columns)).first()
+    found = {c: bad[c] for c in columns if bad[c]}
+    if found:
+        raise ValueError(f"values that are no numbers: {found}")
+
+
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = fv.SAMPLE_SEED) -> DataFrame:
     """Exactly `n` rows, each equally likely, the same for any partitioning.
 

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendwell.session import task_slots
+from lendwell.session import shared_folder, task_slots
 
 HEX_DIGITS = 4  # 65,536 hash buckets
 
@@ -36,16 +36,15 @@ def _sum_before(totals: DataFrame, groups: Sequence[str], value: str) -> DataFra
     return totals.withColumn("_before", F.coalesce(F.sum(value).over(window), F.lit(0)))
 
 
-def quantile_buckets(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+def quantile_buckets(df: DataFrame, order: str, buckets: int) -> DataFrame:
     """Add `_bucket`, rising with `order` and of about equal size.
 
     The cuts are approximate quantiles; only the cuts (a bounded list) come to
     the driver, and the result of any exact operator does not depend on them.
     """
-    n = buckets or 4 * task_slots(df.sparkSession)
     as_double = df.withColumn("_order", F.col(order).cast("double"))
-    probs = [i / n for i in range(1, n)]
-    cuts = as_double.approxQuantile("_order", probs, 1.0 / (4 * n))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = as_double.approxQuantile("_order", probs, 1.0 / (4 * buckets)) if probs else []
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) == 2:
         return df.withColumn("_bucket", F.lit(0.0))
@@ -65,8 +64,14 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sums of `values` (column -> output name) by a numeric order.
 
-    `order` must be unique within a group; aggregate ties first.
+    `order` must be unique within a group; aggregate ties first. The input is
+    written to the checkpoint folder once, because it is read for the cuts, the
+    bucket totals and the sums. One bucket is for inputs of a known small size.
     """
+    if buckets != 1:
+        shared_folder(df.sparkSession)
+        df = df.checkpoint()
+        buckets = buckets or 4 * task_slots(df.sparkSession)
     df = quantile_buckets(df, order, buckets)
     if descending:
         df = df.withColumn("_bucket", -F.col("_bucket"))
@@ -162,65 +167,72 @@ def first_by_hash(
     return df.withColumn(flag, accept)
 
 
+WINDOW_ROWS = 1_000_000  # distinct values one task may put in order
+
+
 def exact_percentiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], error: float = 0.001
 ) -> DataFrame:
     """Exact interpolated percentiles, one row per (column, prob).
 
-    Approximate quantiles bracket each wanted position; counts below the bracket
-    are exact, and only distinct values inside it are put in order.
+    A first pass brackets each wanted position by approximate quantiles. In the
+    second pass all values below a bracket count as one, values above it are
+    dropped, and only distinct values inside it are put in order.
     """
+    spark = df.sparkSession
     probs = list(probs)
     numbers = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns))
-    present = numbers.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in columns)).first()
-    # Wide enough to hold both neighbours of a position in the shortest column.
-    spread = 2 * error + 2.0 / max(1, min((n for n in present if n), default=1))
-    bounds = numbers.approxQuantile(
-        list(columns),
-        [min(1.0, max(0.0, p + s * spread)) for p in probs for s in (-1, 1)],
-        error,
-    )
-    wanted = [
-        (c, float(p), found[2 * i], found[2 * i + 1])
-        for c, found in zip(columns, bounds)
-        if found
-        for i, p in enumerate(probs)
-    ]
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in columns]
-    stacked = numbers.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
-    spark = df.sparkSession
-    if not wanted:
-        return spark.createDataFrame([], "column string, prob double, value double")
+    points = [min(1.0, max(0.0, p + side * 2 * error)) for p in probs for side in (-1, 1)]
     seen = numbers.agg(
         *(
-            F.count_if(F.col(f"`{c}`") < lo).alias(f"below_{i}")
-            for i, (c, _, lo, _) in enumerate(wanted)
+            F.struct(
+                F.count(c).alias("n"),
+                F.min(c).alias("lo"),
+                F.max(c).alias("hi"),
+                F.percentile_approx(c, points, int(2 / error)).alias("cuts"),
+            ).alias(c)
+            for c in columns
         )
     ).first()
-    positions = []
-    for i, (c, p, lo, hi) in enumerate(wanted):
-        at = p * (present[c] - 1)
-        low = int(at)
-        positions.append((c, p, lo, hi, seen[f"below_{i}"], low, at - low))
-    places = spark.createDataFrame(
-        positions,
-        "column string, prob double, lo double, hi double, below long, low long, part double",
+    places = []
+    widest = 0.0
+    for c in columns:
+        n, cuts = seen[c]["n"], seen[c]["cuts"]
+        if not n:
+            continue
+        for i, p in enumerate(probs):
+            low = int(p * (n - 1))
+            # Short columns: the bracket may miss a neighbour, so take all values.
+            short = n * error < 2
+            lo = seen[c]["lo"] if short else cuts[2 * i]
+            hi = seen[c]["hi"] if short else cuts[2 * i + 1]
+            widest = max(widest, n if short else 6 * error * n)
+            places.append((c, float(p), lo, hi, low, p * (n - 1) - low))
+    if not places:
+        return spark.createDataFrame([], "column string, prob double, value double")
+    wanted = spark.createDataFrame(
+        places, "column string, prob double, lo double, hi double, low long, part double"
     )
-    inside = (
-        stacked.join(places.select("column", "prob", "lo", "hi"), "column")
-        .where(F.col("v").between(F.col("lo"), F.col("hi")))
-        .groupBy("column", "prob", "v")
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in columns]
+    cell = F.when(F.col("v") < F.col("lo"), -float("inf")).otherwise(F.col("v"))
+    counts = (
+        numbers.select(F.inline(F.array(*pairs)))
+        .where(F.col("v").isNotNull())
+        .join(wanted, "column")
+        .where(F.col("v") <= F.col("hi"))
+        .groupBy("column", "prob", "low", "part", cell.alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    summed = running_sum(inside, ["column", "prob"], "v", {"n": "upto"})
-    rows = summed.join(places.select("column", "prob", "below", "low", "part"), ["column", "prob"])
-    first, last = F.col("below") + F.col("upto") - F.col("n"), F.col("below") + F.col("upto") - 1
+    summed = running_sum(
+        counts, ["column", "prob"], "v", {"n": "upto"}, buckets=1 if widest <= WINDOW_ROWS else None
+    )
+    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
 
     def at_position(position: Column) -> Column:
         return F.max(F.when(position.between(first, last), F.col("v")))
 
     return (
-        rows.groupBy("column", "prob")
+        summed.groupBy("column", "prob")
         .agg(
             at_position(F.col("low")).alias("a"),
             at_position(F.col("low") + 1).alias("b"),

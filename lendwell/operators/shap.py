@@ -7,6 +7,7 @@ needs no shuffle; only the global averages do one small aggregate.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -252,7 +253,9 @@ def slot_frame(spark, slots: Sequence[Slot]) -> DataFrame:
 
 def encoded_importance(df: DataFrame, slots: Sequence[Slot], shap: str = "shap") -> DataFrame:
     """Mean absolute contribution per encoded column, ranked."""
-    sums = df.select(F.posexplode(shap).alias("slot", "v")).groupBy("slot").agg(
+    # The outer form keeps the optimizer from repeating the array in a filter below.
+    cells = df.select(F.posexplode_outer(shap).alias("slot", "v")).where(F.col("slot").isNotNull())
+    sums = cells.groupBy("slot").agg(
         F.avg(F.abs("v")).alias("mean_abs_shap")
     )
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("mean_abs_shap").desc(), "encoded_name")
@@ -288,7 +291,8 @@ def grouped_importance(df: DataFrame, slots: Sequence[Slot], shap: str = "shap")
         "encoded_columns int",
     )
     sums = (
-        df.select(F.posexplode(grouped_values(slots, F.col(shap))).alias("place", "v"))
+        df.select(F.posexplode_outer(grouped_values(slots, F.col(shap))).alias("place", "v"))
+        .where(F.col("place").isNotNull())
         .groupBy("place")
         .agg(F.avg(F.abs("v")).alias("mean_abs_shap"))
     )
@@ -298,49 +302,76 @@ def grouped_importance(df: DataFrame, slots: Sequence[Slot], shap: str = "shap")
 
 # --- local factors -------------------------------------------------------
 
+_SLOT_TYPE = (
+    "array<struct<feature:string,model_feature:string,source_features:array<string>,"
+    "category:string,category_label:string,place:int>>"
+)
 
-def _text(value: str | None) -> Column:
-    return F.lit(value).cast("string")
 
+def _slot_table(slots: Sequence[Slot]) -> Column:
+    """The fixed descriptions of the encoded columns as one constant array."""
+    places = {f: i for i, f in enumerate(_feature_spans(slots))}
+    rows = [
+        {
+            "feature": s.display,
+            "model_feature": s.model_feature,
+            "source_features": list(s.sources),
+            "category": s.category,
+            "category_label": s.category_label,
+            "place": places[s.model_feature],
+        }
+        for s in slots
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), _SLOT_TYPE)
 
-def factor_array(
-    slots: Sequence[Slot], shap: str, values: str, application: dict[str, Column]
-) -> Column:
-    """One struct per encoded column with its label, state, value and contribution."""
-    x, v = F.col(values), F.col(shap)
-    items = []
-    for s in slots:
-        here = F.get(x, F.lit(s.index))
-        active = here == 1.0 if s.category is not None else F.lit(None).cast("boolean")
-        label = F.lit(s.display)
-        if s.category is not None:
-            label = F.concat(label, F.when(active, " (present)").otherwise(" (absent)"))
-        items.append(
-            F.struct(
-                label.alias("feature"),
-                F.lit(s.model_feature).alias("model_feature"),
-                F.array(*(F.lit(c) for c in s.sources)).alias("source_features"),
-                _text(s.category).alias("category"),
-                _text(s.category).alias("raw_code"),
-                _text(s.category_label).alias("category_label"),
-                active.alias("category_active"),
-                application[s.model_feature].cast("string").alias("application_value"),
-                here.alias("encoded_value"),
-                F.get(v, F.lit(s.index)).alias("shap_value"),
-                F.lit(s.index).alias("slot"),
-            )
+
+def with_top_factors(
+    df: DataFrame,
+    slots: Sequence[Slot],
+    n: int,
+    application: dict[str, Column],
+    shap: str = "shap",
+    values: str = "encoded_values",
+) -> DataFrame:
+    """Add the n strongest factors of each sign; the earlier column wins a tie.
+
+    Only (contribution, slot) pairs are sorted; the few picks are then described
+    from the constant slot table and the application's own values.
+    """
+    if n < 1:
+        raise ValueError("at least one factor must be asked for")
+    own = F.array(*(application[f].cast("string") for f in _feature_spans(slots)))
+    rows = df.withColumns({"_slots": _slot_table(slots), "_own": own})
+
+    def picks(sign: str) -> Column:
+        return F.expr(
+            f"slice(sort_array(filter(transform({shap}, (v, i) -> struct({sign}v AS k, i AS slot)), "
+            f"p -> p.k < 0)), 1, {n})"
         )
-    return F.array(*items)
 
+    rows = rows.withColumns({"_up": picks("-"), "_down": picks("")})
+
+    def described(side: str) -> Column:
+        meta, x = "_slots[p.slot]", f"{values}[p.slot]"
+        state = f"if({x} = 1.0D, ' (present)', ' (absent)')"
+        return F.expr(
+            f"transform({side}, p -> named_struct("
+            f"'feature', concat({meta}.feature, if({meta}.category IS NULL, '', {state})), "
+            f"'model_feature', {meta}.model_feature, "
+            f"'source_features', {meta}.source_features, "
+            f"'category', {meta}.category, "
+            f"'raw_code', {meta}.category, "
+            f"'category_label', {meta}.category_label, "
+            f"'category_active', if({meta}.category IS NULL, NULL, {x} = 1.0D), "
+            f"'application_value', _own[{meta}.place], "
+            f"'encoded_value', {x}, "
+            f"'shap_value', {shap}[p.slot], "
+            f"'slot', p.slot))"
+        )
 
-def strongest(factors: Column, n: int, positive: bool) -> Column:
-    """The n factors of one sign with the largest contribution; earlier columns win ties."""
-    side = F.filter(
-        factors, lambda f: f["shap_value"] > 0 if positive else f["shap_value"] < 0
-    )
-    sign = -1 if positive else 1
-    keyed = F.transform(
-        side,
-        lambda f: F.struct((f["shap_value"] * sign).alias("k"), f["slot"].alias("s"), f.alias("f")),
-    )
-    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda k: k["f"])
+    return rows.withColumns(
+        {
+            "top_positive_factors": described("_up"),
+            "top_negative_factors": described("_down"),
+        }
+    ).drop("_slots", "_own", "_up", "_down")

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("register_queries", "feature_queries", "metric_queries")
+_MODULES = (
+    "register_queries",
+    "feature_queries",
+    "metric_queries",
+    "explain_queries",
+    "corpus_queries",
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

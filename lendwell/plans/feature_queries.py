@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
+from lendwell.functions.cleaning import to_number
 from lendwell.functions.features import dti_band, safe_ratio
 from lendwell.operators import encode
 from lendwell.operators.features import engineer, feature_columns
@@ -26,9 +27,9 @@ def engineer_features(spark, d):
 
 
 def dti_bands(spark, d):
-    return normalized(spark, d).select(
-        "lar_id", "debt_to_income_ratio", dti_band("debt_to_income_ratio").alias("dti_category")
-    )
+    text = F.col("debt_to_income_ratio")
+    rows = normalized(spark, d).select("lar_id", text, to_number(text).alias("number"))
+    return rows.select("lar_id", text, dti_band(text, F.col("number")).alias("dti_category"))
 
 
 def safe_ratios(spark, d):

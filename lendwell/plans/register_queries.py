@@ -19,7 +19,9 @@ SAMPLE = 2_000
 
 
 def normalized(spark: SparkSession, d: str) -> DataFrame:
-    return population.normalize(population.eligible_population(register(spark, d)), ("lar_id",))
+    """Curated columns and key of the eligible rows; the adapter's codes carry no blanks."""
+    eligible = population.eligible_population(register(spark, d), clean=True)
+    return population.normalize(eligible, ("lar_id",))
 
 
 def curated(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +108,7 @@ def curated_roundtrip(spark, d):
 
 def build_dataset(spark, d):
     """Sample of the eligible population with its class and missing-value profile."""
+    population.require_numbers(register(spark, d))
     path = scratch_path(spark, "curated")
     files.write_curated(
         population.uniform_sample(normalized(spark, d), "lar_id", SAMPLE), path,

@@ -71,7 +71,7 @@ def page_sections(
     """One section per non-empty page of a paged text, labelled `page N` from 1."""
     pages = F.split(F.col(text), f"\\Q{separator}\\E", -1)
     return (
-        docs.select(doc_id, *keep, F.posexplode(pages).alias("pos", "raw"))
+        docs.select(doc_id, *keep, F.posexplode_outer(pages).alias("pos", "raw"))
         .select(
             F.col(doc_id),
             *keep,
