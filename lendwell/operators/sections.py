@@ -121,7 +121,7 @@ def html_sections(
 ) -> DataFrame:
     """One row per section of a page: key, section number from 0, heading, text."""
     rows = pages.select(key, *keep, F.col(title).alias("_title"), F.col(html).alias("_html"))
-    added = T.StructType().add("section_no", "bigint").add("page_or_section", "string")
+    added = T.StructType().add("section_no", "long").add("page_or_section", "string")
     added = added.add("text", "string")
     schema = T.StructType(rows.drop("_title", "_html").schema.fields + added.fields)
     names = [key, *keep]

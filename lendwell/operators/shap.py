@@ -155,12 +155,14 @@ def tree_shap(
     """Add the SHAP array of each row and `base_value`; rows keep their partitions."""
     spark = scored.sparkSession
     leaves, base = read_leaves(model, spark)
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = spark.sparkContext.broadcast(
+        [(x.value, x.features, x.lo, x.hi, x.cold) for x in leaves]
+    )
     vectors = [f.name for f in scored.schema.fields if isinstance(f.dataType, VectorUDT)]
     rows = scored.withColumn("_x", vector_to_array(vector)).drop(*vectors)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
+        trees = [Leaf(*parts) for parts in shared.value]
         for batch in batches:
             if len(batch):
                 x = np.array(batch["_x"].tolist(), dtype=float)

@@ -10,6 +10,9 @@ _MODULES = (
     "metric_queries",
     "explain_queries",
     "corpus_queries",
+    "evidence_queries",
+    "model_queries",
+    "stream_queries",
 )
 
 QUERIES: dict = {}
