@@ -59,11 +59,26 @@ def _tree_nodes(model, spark) -> pd.DataFrame:
             node["split"]["leftCategoriesOrThreshold"].alias("thresholds"),
             node["split"]["numCategories"].alias("categories"),
         )
-        .join(weights.select(F.col("treeID").alias("tree"), F.col("weights").alias("weight")), "tree")
+        .join(weights.toDF("tree", "metadata", "weight").drop("metadata"), "tree")
         .toPandas()
     )
 
 
+def _split_sides(row: dict) -> tuple[int, tuple[int, float], int]:
+    """Feature, (child at or below the cut, cut) and child above it.
+
+    A 0/1 column may be split as a category; its cut is 0.5, and the left child
+    takes whichever of the two values the split names.
+    """
+    j, values = int(row["feature"]), [float(v) for v in row["thresholds"]]
+    if row["categories"] < 0:
+        return j, (row["left"], values[0]), row["right"]
+    if row["categories"] > 2 or len(values) != 1:
+        raise ValueError("only 0/1 columns may be split as categories")
+    low, high = row["left"], row["right"]
+    return (j, (low, 0.5), high) if values[0] == 0.0 else (j, (high, 0.5), low)
+
+
 def read_leaves(model, spark) -> tuple[list[Leaf], float]:
     """Leaves of a boosted-tree classifier on the log-odds scale, and the base value.
 
@@ -94,13 +109,12 @@ def read_leaves(model, spark) -> tuple[list[Leaf], float]:
                 )
                 base += scale * float(row["prediction"]) * float(row["cover"]) / root_cover
                 continue
-            if row["categories"] >= 0:
-                raise ValueError("categorical splits are not expected in an encoded matrix")
-            j, cut = int(row["feature"]), float(row["thresholds"][0])
+            j, below, above = _split_sides(row)
             lo, hi, cold = box.get(j, (-math.inf, math.inf, 1.0))
+            cut = below[1]
             for child, interval in (
-                (row["left"], (lo, min(hi, cut))),
-                (row["right"], (max(lo, cut), hi)),
+                (below[0], (lo, min(hi, cut))),
+                (above, (max(lo, cut), hi)),
             ):
                 share = float(rows[child]["cover"]) / float(row["cover"])
                 stack.append((child, {**box, j: (*interval, cold * share)}))
