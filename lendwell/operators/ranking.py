@@ -207,7 +207,7 @@ def exact_percentiles(
             lo = seen[c]["lo"] if short else cuts[2 * i]
             hi = seen[c]["hi"] if short else cuts[2 * i + 1]
             widest = max(widest, n if short else 6 * error * n)
-            places.append((c, float(p), lo, hi, low, p * (n - 1) - low))
+            places.append((c, float(p), lo, hi, low, float(p * (n - 1) - low)))
     if not places:
         return spark.createDataFrame([], "column string, prob double, value double")
     wanted = spark.createDataFrame(
