@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendwell.session import task_slots
+
+
+# Tables that feed costly row work, and their unique key.
+SPREAD_BY = {"orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table.
+
+    A file that is smaller than one split per core would be worked on by one
+    task; only such a table is spread over the cores by its unique key. Larger
+    tables keep the partitions of their scan and are not shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPREAD_BY and df.rdd.getNumPartitions() < task_slots(spark):
+        df = df.repartition(task_slots(spark), SPREAD_BY[name])
+    return df
 
 
 # Register column -> Spark SQL over one order (k, cents, line-item sums, customer).
