@@ -15,7 +15,7 @@ from lendwell.session import scratch_path
 from lendwell.sources import register as files
 from lendwell.sources.tables import register, table
 
-SAMPLE = 2_000
+SAMPLE = 1_000
 
 
 def normalized(spark: SparkSession, d: str) -> DataFrame:
