@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lendwell.llm import mixing, sharding
+from lendwell.llm import mixing, pii, sharding
 from lendwell.llm.common import load
 
 
+def op4_personal_data(spark, d):
+    """Every whole text of the table."""
+    return pii.digest(pii.find_personal_data(load(spark, d, "documents")))
+
+
 def op7_source_mixing(spark, d):
     """Every document of the table, mixed with weights 1, 2, 3 and a cap of three epochs."""
     return mixing.mix(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -17,6 +22,7 @@ def op10_hash_tree_sharding(spark, d):
 
 
 QUERIES = {
+    "op4_personal_data": op4_personal_data,
     "op7_source_mixing": op7_source_mixing,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
