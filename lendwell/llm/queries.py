@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lendwell.llm import mixing, pii, sharding
+from lendwell.llm import mixing, pii, sharding, warc
 from lendwell.llm.common import load
 
 
+def op1_warc_normaliser(spark, d):
+    """Every page written as a WARC record, normalised and read back by index."""
+    return warc.archive_round_trip(load(spark, d, "pages")).drop("payload", "url")
+
+
 def op4_personal_data(spark, d):
     """Every whole text of the table."""
     return pii.digest(pii.find_personal_data(load(spark, d, "documents")))
@@ -22,11 +27,13 @@ def op10_hash_tree_sharding(spark, d):
 
 
 QUERIES = {
+    "op1_warc_normaliser": op1_warc_normaliser,
     "op4_personal_data": op4_personal_data,
     "op7_source_mixing": op7_source_mixing,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_normaliser": warc.SQL,
     "op7_source_mixing": mixing.SQL,
 }
