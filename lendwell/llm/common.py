@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendwell.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Mean rows of one range in which rows are numbered.
+RANGE_ROWS = 10_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +39,26 @@ def unit_draw(*parts: Column | str) -> Column:
 def key_text(c: Column) -> Column:
     """An identifier as text; null has a text of its own."""
     return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def numbered(rows: DataFrame, group: str, by: list[Column], name: str, settled: list | None = None) -> DataFrame:
+    """`name`: a gapless number from 0 in each `group`, without ordering a whole group in one task.
+
+    Rows fall into hash ranges whose number follows the table's size, the counts
+    of the ranges give their offsets, and rows are numbered inside their range.
+    The rows are written once first; `settled` receives the written frame.
+    """
+    cut = settle(rows.withColumn("_hash", F.xxhash64(*by)), "numbered")
+    if settled is not None:
+        settled.append(cut)
+    cut = cut.withColumn("_range", F.pmod("_hash", F.lit(1 + cut.count() // RANGE_ROWS)))
+    counts = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("n"))
+    offset = F.sum("n").over(W.partitionBy(group).orderBy("_range")) - F.col("n")
+    offsets = counts.select(group, "_range", offset.alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(group, "_range").orderBy(*by))
+    return (
+        cut.withColumn("_inside", inside)
+        .join(offsets, [group, "_range"])
+        .withColumn(name, (F.col("_offset") + F.col("_inside") - 1).cast("long"))
+        .drop("_hash", "_range", "_inside", "_offset")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lendwell.llm import mixing, pii, sharding, warc
+from lendwell.llm import mixing, packing, pii, sharding, warc
 from lendwell.llm.common import load
 
 
@@ -21,6 +21,11 @@ def op7_source_mixing(spark, d):
     return mixing.mix(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minimum_bin_slack(spark, d):
+    """Every document of the table, cut and packed into sequences of 1024 tokens."""
+    return packing.pack(load(spark, d, "documents"))
+
+
 def op10_hash_tree_sharding(spark, d):
     """Every document of the table, placed on eight shards."""
     return sharding.shard_documents(load(spark, d, "documents"))
@@ -30,6 +35,7 @@ QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op4_personal_data": op4_personal_data,
     "op7_source_mixing": op7_source_mixing,
+    "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 

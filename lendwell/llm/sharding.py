@@ -5,14 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import key_text, settle, unit_draw
-
-#: Expected rows of one slot range; the ranges of a shard are counted before rows are numbered.
-RANGE_ROWS = 10_000
-
+from lendwell.llm.common import key_text, numbered, unit_draw
 
 @dataclass(frozen=True)
 class Node:
@@ -75,26 +70,6 @@ def place(key: Column, node: Node, seed: str = "shard") -> Column:
     return out
 
 
-def numbered(rows: DataFrame, group: str, by: list[Column], ranges: int) -> DataFrame:
-    """`slot`: a gapless number from 0 in each `group`, without ordering a whole group in one task.
-
-    Rows fall into hash ranges, the counts of the ranges give their offsets, and
-    rows are numbered inside their range.
-    """
-    cut = rows.withColumn("_range", F.pmod(F.xxhash64(*by), F.lit(ranges)))
-    cut = settle(cut, "numbered")
-    counts = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("n"))
-    offset = F.sum("n").over(W.partitionBy(group).orderBy("_range")) - F.col("n")
-    offsets = counts.select(group, "_range", offset.alias("_offset"))
-    inside = F.row_number().over(W.partitionBy(group, "_range").orderBy(*by))
-    return (
-        cut.withColumn("_inside", inside)
-        .join(offsets, [group, "_range"])
-        .withColumn("slot", (F.col("_offset") + F.col("_inside") - 1).cast("long"))
-        .drop("_range", "_inside", "_offset")
-    )
-
-
 def shard_documents(docs: DataFrame, shards: int = 8, seed: str = "shard") -> DataFrame:
     """Shard, slot and the shard after growth of every document.
 
@@ -116,9 +91,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: str = "shard") -> Da
         place(key, root, seed).cast("int").alias("shard"),
         place(key, grown(root, shards), seed).cast("int").alias("grown_shard"),
     )
-    # Slot ranges follow the table's size, so that no range outgrows a task.
-    ranges = 1 + docs.count() // (shards * RANGE_ROWS)
     by = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    return numbered(rows, "shard", by, ranges).select(
+    return numbered(rows, "shard", by, "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
