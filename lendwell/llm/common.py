@@ -62,3 +62,18 @@ def numbered(rows: DataFrame, group: str, by: list[Column], name: str, settled:
         .withColumn(name, (F.col("_offset") + F.col("_inside") - 1).cast("long"))
         .drop("_hash", "_range", "_inside", "_offset")
     )
+
+
+#: A side of at most this many short rows is sent to all tasks; a larger one is joined by shuffling.
+SMALL_ROWS = 50_000
+
+
+def attach(rows: DataFrame, small: DataFrame, condition, how: str = "inner") -> DataFrame:
+    """Join `rows` with a settled frame whose size is counted first.
+
+    A frame of few rows goes to every task, so that a key with a third of all
+    rows moves nothing; beyond `SMALL_ROWS` Spark shuffles and splits as usual.
+    """
+    if small.count() <= SMALL_ROWS:
+        small = F.broadcast(small)
+    return rows.join(small, condition, how)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lendwell.llm import mixing, packing, pii, sharding, warc
+from lendwell.llm import mixing, packing, pii, quality, sharding, warc
 from lendwell.llm.common import load
 
 
@@ -16,6 +16,11 @@ def op4_personal_data(spark, d):
     return pii.digest(pii.find_personal_data(load(spark, d, "documents")))
 
 
+def op6_robust_outliers(spark, d):
+    """Every document of the table, judged in its language and source."""
+    return quality.judge(load(spark, d, "documents"))
+
+
 def op7_source_mixing(spark, d):
     """Every document of the table, mixed with weights 1, 2, 3 and a cap of three epochs."""
     return mixing.mix(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +39,7 @@ def op10_hash_tree_sharding(spark, d):
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op4_personal_data": op4_personal_data,
+    "op6_robust_outliers": op6_robust_outliers,
     "op7_source_mixing": op7_source_mixing,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
