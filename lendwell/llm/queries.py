@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lendwell.llm import mixing, packing, pii, quality, sharding, warc
+from pyspark.sql import functions as F
+
+from lendwell.llm import lines, mixing, packing, pii, quality, sharding, warc
 from lendwell.llm.common import load
 
 
@@ -31,6 +33,14 @@ def op8_minimum_bin_slack(spark, d):
     return packing.pack(load(spark, d, "documents"))
 
 
+def op9_line_site_spread(spark, d):
+    """Every document of the table without the lines that eight or more sources share."""
+    out = lines.dedup_lines(load(spark, d, "documents"))
+    return out.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op10_hash_tree_sharding(spark, d):
     """Every document of the table, placed on eight shards."""
     return sharding.shard_documents(load(spark, d, "documents"))
@@ -42,10 +52,12 @@ QUERIES = {
     "op6_robust_outliers": op6_robust_outliers,
     "op7_source_mixing": op7_source_mixing,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
+    "op9_line_site_spread": op9_line_site_spread,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
 SQL: dict[str, str] = {
     "op1_warc_normaliser": warc.SQL,
     "op7_source_mixing": mixing.SQL,
+    "op9_line_site_spread": lines.SQL,
 }
