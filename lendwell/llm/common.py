@@ -68,12 +68,12 @@ def numbered(rows: DataFrame, group: str, by: list[Column], name: str, settled:
 SMALL_ROWS = 50_000
 
 
-def attach(rows: DataFrame, small: DataFrame, condition, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, condition, how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
     """Join `rows` with a settled frame whose size is counted first.
 
     A frame of few rows goes to every task, so that a key with a third of all
-    rows moves nothing; beyond `SMALL_ROWS` Spark shuffles and splits as usual.
+    rows moves nothing; beyond `limit` rows Spark shuffles and splits as usual.
     """
-    if small.count() <= SMALL_ROWS:
+    if small.count() <= limit:
         small = F.broadcast(small)
     return rows.join(small, condition, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendwell.llm import lines, mixing, packing, pii, quality, sharding, warc
+from lendwell.llm import lines, mixing, packing, partenum, pii, quality, sharding, warc
 from lendwell.llm.common import load
 
 
@@ -13,6 +13,11 @@ def op1_warc_normaliser(spark, d):
     return warc.archive_round_trip(load(spark, d, "pages")).drop("payload", "url")
 
 
+def op2_partenum_join(spark, d):
+    """Every document of the table: its component under Jaccard 0.8 of 5-word shingles."""
+    return partenum.jaccard_groups(load(spark, d, "documents"))
+
+
 def op4_personal_data(spark, d):
     """Every whole text of the table."""
     return pii.digest(pii.find_personal_data(load(spark, d, "documents")))
@@ -48,6 +53,7 @@ def op10_hash_tree_sharding(spark, d):
 
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
+    "op2_partenum_join": op2_partenum_join,
     "op4_personal_data": op4_personal_data,
     "op6_robust_outliers": op6_robust_outliers,
     "op7_source_mixing": op7_source_mixing,
