@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendwell.llm import lines, mixing, packing, partenum, pii, quality, sharding, warc
+from lendwell.llm import lines, mixing, multiindex, packing, partenum, pii, quality, sharding, warc
 from lendwell.llm.common import load
 
 
@@ -18,6 +18,11 @@ def op2_partenum_join(spark, d):
     return partenum.jaccard_groups(load(spark, d, "documents"))
 
 
+def op3_inverted_multi_index(spark, d):
+    """Every vector of the table: links and component at cosine 0.93 within its label."""
+    return multiindex.near_duplicates(load(spark, d, "embeddings"))
+
+
 def op4_personal_data(spark, d):
     """Every whole text of the table."""
     return pii.digest(pii.find_personal_data(load(spark, d, "documents")))
@@ -54,6 +59,7 @@ def op10_hash_tree_sharding(spark, d):
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_partenum_join": op2_partenum_join,
+    "op3_inverted_multi_index": op3_inverted_multi_index,
     "op4_personal_data": op4_personal_data,
     "op6_robust_outliers": op6_robust_outliers,
     "op7_source_mixing": op7_source_mixing,
