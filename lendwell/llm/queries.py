@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendwell.llm import lines, mixing, multiindex, packing, partenum, pii, quality, sharding, warc
+from lendwell.llm import lines, mixing, multiindex, packing, partenum, pii, quality, sharding, toxicity, warc
 from lendwell.llm.common import load
 
 
@@ -28,6 +28,11 @@ def op4_personal_data(spark, d):
     return pii.digest(pii.find_personal_data(load(spark, d, "documents")))
 
 
+def op5_noisy_channel_toxicity(spark, d):
+    """Every document of the table, scored by its restored text."""
+    return toxicity.score_toxicity(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
 def op6_robust_outliers(spark, d):
     """Every document of the table, judged in its language and source."""
     return quality.judge(load(spark, d, "documents"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_partenum_join": op2_partenum_join,
     "op3_inverted_multi_index": op3_inverted_multi_index,
     "op4_personal_data": op4_personal_data,
+    "op5_noisy_channel_toxicity": op5_noisy_channel_toxicity,
     "op6_robust_outliers": op6_robust_outliers,
     "op7_source_mixing": op7_source_mixing,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
