@@ -58,7 +58,7 @@ _LIKE[[ord(c) for c in LOOKALIKE]] = True
 _WORDY = _LETTER.copy()
 _WORDY[48:58] = _WORDY[128:] = True
 _OPENING = _WORDY.copy()
-_OPENING[[ord(c) for c in "@$!+|("]] = True
+_OPENING[[ord(c) for c in "@$!+|"]] = True
 _INNER = np.zeros(256, bool)
 _INNER[[ord(c) for c in ".-_*"]] = True
 
