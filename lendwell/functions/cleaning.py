@@ -24,11 +24,6 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(BLANKS))
 
 
-# Group 1 is the stripped text, unless that text is one of the missing markers.
-_WORDS = "|".join(m for m in fv.MISSING_MARKERS if m)
-MARKED = rf"(?Us)^\s*(?!(?i:{_WORDS})\s*$)(\S(?:.*\S)?)\s*$"
-
-
 def _found(c: Column | str, pattern: str) -> Column:
     """Group 1 of a pattern, null where it does not match; the input is used once.
 
@@ -40,25 +35,6 @@ def _found(c: Column | str, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
-def clean_marker(c: Column | str) -> Column:
-    """Stripped text, or null where it is one of the missing markers."""
-    return _found(c, MARKED)
-
-
-# One number, blanks around it allowed; group 1 is the number.
-NUMBER = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
-
-INFINITY = float("inf")
-
-
-def col(c: Column | str) -> Column:
-    return F.col(f"`{c}`") if isinstance(c, str) else c
-
-
-def strip(c: Column | str) -> Column:
-    return F.btrim(col(c), F.lit(BLANKS))
-
-
 def clean_marker(c: Column | str) -> Column:
     """Stripped text, or null where it is one of the missing markers."""
     text = strip(c)

@@ -9,12 +9,15 @@ bucket are sorted together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import isfinite
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendwell.session import shared_folder, task_slots
+from lendwell.session import shared_folder, task_slots, written
 
 HEX_DIGITS = 4  # 65,536 hash buckets
 
@@ -45,7 +48,7 @@ def quantile_buckets(df: DataFrame, order: str, buckets: int) -> DataFrame:
     as_double = df.withColumn("_order", F.col(order).cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = as_double.approxQuantile("_order", probs, 1.0 / (4 * buckets)) if probs else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted({c for c in cuts if isfinite(c)}), float("inf")]
     if len(splits) == 2:
         return df.withColumn("_bucket", F.lit(0.0))
     cutter = Bucketizer(
@@ -95,32 +98,33 @@ def running_sum(
 
 
 def hash_rank(df: DataFrame, groups: Sequence[str], h: str, key: str, out: str) -> DataFrame:
-    """Exact 1-based rank by (hash, key) within each group."""
+    """Exact 1-based rank by (hash, key) within each group; null is a group too."""
     rows = df.withColumn("_bucket", hash_bucket(F.col(h)))
     keys = [*groups, "_bucket"]
     totals = _sum_before(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), groups, "_n")
+    totals = totals.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     inside = Window.partitionBy(*keys).orderBy(h, key)
-    ranked = rows.join(totals.drop("_n"), keys)
+    ranked = rows.join(totals, reduce(and_, same))
     return ranked.withColumn(out, F.col("_before") + F.row_number().over(inside)).drop(
-        "_bucket", "_before"
+        "_bucket", "_before", *(f"_of_{k}" for k in keys)
     )
 
 
-MAX_LITERAL_GROUPS = 1000
-
-
 def first_by_hash(
     df: DataFrame, group: str, h: str, key: str, quota: Column, flag: str
 ) -> DataFrame:
     """Flag the first rows by (hash, key) of each group, up to the group's quota.
 
-    `quota` is an expression over `_total`, the group's row count. Two narrow
-    aggregates find the last accepted (hash, key) of each group. They come back
-    as one row per group and are compared as constants, so the rows themselves
-    are never shuffled or sorted. With very many groups the ranks are computed
-    instead.
+    `quota` is an expression over `_total`, the group's row count. Group, hash
+    and key are written once; two aggregates of them find the last accepted
+    (hash, key) of each group, and every row is compared with its group's. Only
+    the rows of the bucket in which a quota ends are put in order. Null is a
+    group like any other.
     """
-    narrow = df.select(group, h, key).withColumn("_bucket", hash_bucket(F.col(h)))
+    narrow = written(
+        df.select(group, h, key).withColumn("_bucket", hash_bucket(F.col(h))), "hash-order"
+    )
     counts = narrow.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     cells = _sum_before(counts, [group], "_n")
     cells = cells.withColumn("_total", F.sum("_n").over(Window.partitionBy(group)))
@@ -128,46 +132,37 @@ def first_by_hash(
     used_up = (F.col("_before") < F.col("_quota")) & (
         F.col("_before") + F.col("_n") >= F.col("_quota")
     )
-    per_group = cells.groupBy(group).agg(
-        F.max("_total").alias("total"),
-        F.max("_quota").alias("quota"),
-        F.max(F.when(used_up, F.struct("_bucket", "_before"))).alias("edge"),
+    limits = written(
+        cells.groupBy(F.col(group).alias("_of")).agg(
+            (F.max("_quota") >= F.max("_total")).alias("_all_in"),
+            F.max("_quota").alias("_quota"),
+            F.max(F.when(used_up, F.struct("_bucket", "_before"))).alias("_edge"),
+        ),
+        "hash-limits",
     )
-    found = per_group.limit(MAX_LITERAL_GROUPS + 1).collect()
-    if len(found) > MAX_LITERAL_GROUPS:
-        ranked = hash_rank(df, [group], h, key, "_rank").join(
-            per_group.select(group, "quota"), group
-        )
-        return ranked.withColumn(flag, F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
-
-    accept = F.lit(False)
-    edges = {r[group]: r for r in found if r["edge"] is not None}
-    for r in found:
-        if r["quota"] >= r["total"]:
-            accept = accept | F.col(group).eqNullSafe(F.lit(r[group]))
-    wanted = F.lit(False)
-    left = F.lit(None).cast("bigint")
-    for g, r in edges.items():
-        here = F.col(group).eqNullSafe(F.lit(g))
-        wanted = wanted | (here & (F.col("_bucket") == r["edge"]["_bucket"]))
-        left = F.when(here, F.lit(r["quota"] - r["edge"]["_before"])).otherwise(left)
+    own = F.col(group).eqNullSafe(F.col("_of"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
     last = (
-        narrow.where(wanted)
+        narrow.join(limits, own & (F.col("_bucket") == F.col("_edge._bucket")))
         .withColumn("_place", place)
-        .where(F.col("_place") == left)
-        .select(group, h, key)
-        .collect()
-        if edges
-        else []
+        .where(F.col("_place") == F.col("_quota") - F.col("_edge._before"))
+        .select(F.col("_of").alias("_last_of"), F.col(h).alias("_last_h"), F.col(key).alias("_last_key"))
+    )
+    cuts = written(
+        limits.join(last, F.col("_of").eqNullSafe(F.col("_last_of")), "left").select(
+            "_of", "_all_in", "_last_h", "_last_key"
+        ),
+        "hash-cuts",
+    )
+    upto = (F.col(h) < F.col("_last_h")) | (
+        (F.col(h) == F.col("_last_h")) & (F.col(key) <= F.col("_last_key"))
+    )
+    accept = F.col("_all_in") | F.coalesce(upto, F.lit(False))
+    return (
+        df.join(cuts, own, "left")
+        .withColumn(flag, F.coalesce(accept, F.lit(False)))
+        .drop("_of", "_all_in", "_last_h", "_last_key")
     )
-    for r in last:
-        upto = (F.col(h) < r[h]) | ((F.col(h) == r[h]) & (F.col(key) <= r[key]))
-        accept = accept | (F.col(group).eqNullSafe(F.lit(r[group])) & upto)
-    return df.withColumn(flag, accept)
-
-
-WINDOW_ROWS = 1_000_000  # distinct values one task may put in order
 
 
 def exact_percentiles(
@@ -194,8 +189,7 @@ def exact_percentiles(
             for c in columns
         )
     ).first()
-    places = []
-    widest = 0.0
+    cells = []
     for c in columns:
         n, cuts = seen[c]["n"], seen[c]["cuts"]
         if not n:
@@ -206,26 +200,26 @@ def exact_percentiles(
             short = n * error < 2
             lo = seen[c]["lo"] if short else cuts[2 * i]
             hi = seen[c]["hi"] if short else cuts[2 * i + 1]
-            widest = max(widest, n if short else 6 * error * n)
-            places.append((c, float(p), lo, hi, low, float(p * (n - 1) - low)))
-    if not places:
+            v = F.col(f"`{c}`")
+            cells.append(
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.lit(float(p)).alias("prob"),
+                    F.lit(low).cast("long").alias("low"),
+                    F.lit(float(p * (n - 1) - low)).alias("part"),
+                    F.when(v < F.lit(lo), -float("inf")).when(v <= F.lit(hi), v).alias("v"),
+                )
+            )
+    if not cells:
         return spark.createDataFrame([], "column string, prob double, value double")
-    wanted = spark.createDataFrame(
-        places, "column string, prob double, lo double, hi double, low long, part double"
-    )
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in columns]
-    cell = F.when(F.col("v") < F.col("lo"), -float("inf")).otherwise(F.col("v"))
+    # The brackets stand in the row as constants, so the values meet no join.
     counts = (
-        numbers.select(F.inline(F.array(*pairs)))
+        numbers.select(F.inline(F.array(*cells)))
         .where(F.col("v").isNotNull())
-        .join(wanted, "column")
-        .where(F.col("v") <= F.col("hi"))
-        .groupBy("column", "prob", "low", "part", cell.alias("v"))
+        .groupBy("column", "prob", "low", "part", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    summed = running_sum(
-        counts, ["column", "prob"], "v", {"n": "upto"}, buckets=1 if widest <= WINDOW_ROWS else None
-    )
+    summed = running_sum(counts, ["column", "prob"], "v", {"n": "upto"})
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
 
     def at_position(position: Column) -> Column:

@@ -43,12 +43,17 @@ def scorecard(rows: DataFrame) -> list[tuple[str, str, float, float]]:
     ]
 
 
+def sql_text(value: str) -> str:
+    """A SQL literal of any text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def contributions(spark, d) -> tuple[DataFrame, list[shap.Slot]]:
     """Applications with `encoded_values` and `shap` arrays over the encoded columns."""
     rows = features(spark, d)
     card = scorecard(rows)
     slots = shap.make_slots([(f"{f}_{c}", f, c) for f, c, _, _ in card])
-    on = [f"if(`{f}` <=> '{c}', 1.0D, 0.0D)" for f, c, _, _ in card]
+    on = [f"if(`{f}` <=> {sql_text(c)}, 1.0D, 0.0D)" for f, c, _, _ in card]
     weights = ", ".join(f"{w!r}D" for _, _, _, w in card)
     shares = ", ".join(f"{p!r}D" for _, _, p, _ in card)
     rows = rows.select("*", F.expr(f"array({', '.join(on)})").alias("encoded_values"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "lendwell") -> SparkSession:
@@ -28,11 +28,14 @@ def local_session(cores: int | str = 8, app: str = "lendwell") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set for the session.
+    Only a local session, whose tasks share one machine, may name none; a
+    temporary folder is then made and set for it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lendwell-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -46,3 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def task_slots(spark: SparkSession) -> int:
     """Shuffle width of the session; bucket counts scale with it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` below the shared folder and read it back: computed once, its
+    lineage cut, its size known to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -49,6 +49,7 @@ def scan_register(
     rows = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)  # every file's header must be the first one's
         .option("encoding", "UTF-8")
         .option("emptyValue", "")
         .csv(path)

@@ -27,10 +27,7 @@ def test_percentiles_match_numpy(spark):
             assert got[(c, p)] == pytest.approx(np.percentile(values, 100 * p), abs=1e-9)
 
 
-def test_percentiles_with_large_columns_in_buckets(spark, monkeypatch):
-    from lendwell.operators import ranking
-
-    monkeypatch.setattr(ranking, "WINDOW_ROWS", 1)
+def test_percentiles_with_large_columns_in_buckets(spark):
     df = spark.range(1, 5001).select(F.col("id").cast("double").alias("v"))
     assert exact_percentiles(df, ["v"], [0.5]).first()["value"] == 2500.5
 
