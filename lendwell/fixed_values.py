@@ -334,10 +334,35 @@ GUARD_WARNINGS = (
 STATUS_ABSTAINED = "abstained_insufficient_evidence"
 STATUS_REJECTED = "output_validation_failed"
 STATUS_SUCCESS = "success"
-PROMPT_VERSION = "grounded_generation_v1"
 FINAL_TEXT_FORMAT = (
     "Prediccion del modelo: %s (probabilidad=%.6f)\n\n"
     "Evidencia del modelo:\n%s\n\n"
     "Contexto normativo:\n%s\n\n"
     "Evaluacion final:\n%s"
 )
+
+# Published training runs: name, family, feature configuration, stage, parameters.
+PUBLISHED_RUNS = (
+    ("rf_baseline_full", "random_forest", "full", "baseline",
+     {"n_estimators": 250, "max_depth": None, "min_samples_leaf": 1}),
+    ("rf_robust_without_workflow_features", "random_forest", "without_workflow_features", "robustness",
+     {"n_estimators": 250, "max_depth": None, "min_samples_leaf": 1}),
+    ("rf_tuned_01", "random_forest", "full", "tuning",
+     {"n_estimators": 400, "max_depth": 18, "min_samples_leaf": 2, "max_features": 0.7}),
+    ("xgb_baseline_full", "xgboost", "full", "baseline",
+     {"n_estimators": 250, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.9, "colsample_bytree": 0.9}),
+    ("xgb_robust_without_workflow_features", "xgboost", "without_workflow_features", "robustness",
+     {"n_estimators": 250, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.9, "colsample_bytree": 0.9}),
+    ("xgb_tuned_01", "xgboost", "full", "tuning",
+     {"n_estimators": 350, "max_depth": 3, "learning_rate": 0.07, "subsample": 0.8, "colsample_bytree": 0.85}),
+    ("xgb_tuned_02", "xgboost", "full", "tuning",
+     {"n_estimators": 450, "max_depth": 4, "learning_rate": 0.04, "subsample": 0.9, "colsample_bytree": 0.9}),
+    ("catboost_baseline_full", "catboost", "full", "baseline",
+     {"iterations": 250, "depth": 6, "learning_rate": 0.05}),
+    ("catboost_robust_without_workflow_features", "catboost", "without_workflow_features", "robustness",
+     {"iterations": 250, "depth": 6, "learning_rate": 0.05}),
+    ("catboost_tuned_01", "catboost", "full", "tuning",
+     {"iterations": 350, "depth": 4, "learning_rate": 0.06}),
+    ("catboost_tuned_02", "catboost", "full", "tuning",
+     {"iterations": 450, "depth": 7, "learning_rate": 0.04}),
+)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,29 +145,26 @@ def html_sections(
 
 
 def word_chunks(text: str, limit: int, overlap: int) -> list[str]:
-    """Greedy word windows of at most `limit` characters.
+    """Windows of whole words, at most `limit` characters wide.
 
-    The next window starts far enough back to repeat at least `overlap`
-    characters of whole words, and at least one word further than the last one.
-    A word longer than the limit stands alone.
+    A window takes all words whose ends lie within `limit` of its first word's
+    start; the next begins with the last word that leaves `overlap` characters
+    repeated, and one word on at least. Word ends are searched, not walked. A
+    word longer than the limit stands alone.
     """
     words = text.split()
-    ends = [0]  # position after each word, each word counted with one blank
-    for w in words:
-        ends.append(ends[-1] + len(w) + 1)
-    chunks, start = [], 0
-    while start < len(words):
-        stop = start + 1
-        while stop < len(words) and ends[stop + 1] - ends[start] - 1 <= limit:
-            stop += 1
-        chunks.append(" ".join(words[start:stop]))
-        if stop == len(words):
-            break
-        back = stop
-        while back > start and ends[stop] - ends[back] < overlap:
-            back -= 1
-        start = max(back, start + 1)
-    return chunks
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    out, at = [], 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + limit + 1, side="right")))
+        out.append(" ".join(words[at:to]))
+        if to >= len(words):
+            return out
+        repeat = int(np.searchsorted(starts, ends[to - 1] - overlap, side="right")) - 1 if overlap else to
+        at = max(at + 1, min(repeat, to))
+    return out
 
 
 def chunk_texts(text: Column, limit: int = fv.CHUNK_CHARS, overlap: int = fv.CHUNK_OVERLAP) -> Column:

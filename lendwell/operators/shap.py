@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -196,43 +197,19 @@ def tree_shap(
 # --- descriptors ---------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Slot:
-    """One column of the encoded matrix and what it stands for."""
+class Slot(NamedTuple):
+    """Place and name of an encoded column, the feature and category it encodes."""
 
     index: int
     encoded_name: str
     model_feature: str
     category: str | None
 
-    @property
-    def business_feature(self) -> str:
-        return fv.BUSINESS_NAME.get(self.model_feature, self.model_feature)
-
-    @property
-    def sources(self) -> tuple[str, ...]:
-        return fv.FEATURE_SOURCES.get(self.model_feature, (self.model_feature,))
-
-    @property
-    def category_label(self) -> str | None:
-        codes = fv.CODE_LABEL.get(self.model_feature)
-        if self.category is None or codes is None:
-            return None
-        return codes.get(self.category, fv.UNKNOWN_LABEL)
-
-    @property
-    def display(self) -> str:
-        if self.category is None:
-            return self.business_feature
-        if self.category_label == fv.UNKNOWN_LABEL:
-            return f"{self.business_feature} = unknown (code {self.category})"
-        return f"{self.business_feature} = {self.category_label or self.category}"
-
 
 def make_slots(names: Sequence[tuple[str, str, str | None]]) -> list[Slot]:
     slots = [Slot(i, *n) for i, n in enumerate(names)]
     for s in slots:
-        if set(s.sources) & set(fv.AUDIT_ONLY):
+        if set(fv.FEATURE_SOURCES.get(s.model_feature, (s.model_feature,))) & set(fv.AUDIT_ONLY):
             raise AssertionError(f"audit-only column reached the model: {s.encoded_name}")
     return slots
 
@@ -251,17 +228,44 @@ def model_slots(model: PipelineModel, scored: DataFrame, config: str = "full") -
     return slots
 
 
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
 def slot_frame(spark, slots: Sequence[Slot]) -> DataFrame:
-    rows = [
-        (s.index, s.encoded_name, s.display, s.model_feature, s.business_feature,
-         "|".join(s.sources), s.category, s.category_label)
-        for s in slots
-    ]
-    return spark.createDataFrame(
-        rows,
-        "slot int, encoded_name string, display_feature string, model_feature string, "
-        "business_feature string, source_features string, category string, category_label string",
+    """The encoded columns with their names in words, from the fixed tables."""
+    feature, category = F.col("model_feature"), F.col("category")
+    codes = {f"{f}={c}": text for f, table in fv.CODE_LABEL.items() for c, text in table.items()}
+    business = F.coalesce(_lookup(fv.BUSINESS_NAME, feature), feature)
+    sources = _lookup({f: "|".join(s) for f, s in fv.FEATURE_SOURCES.items()}, feature)
+    known = F.coalesce(_lookup(codes, F.concat_ws("=", feature, category)), F.lit(fv.UNKNOWN_LABEL))
+    label = F.when(category.isNotNull() & feature.isin(*fv.CODE_LABEL), known)
+    unknown = F.format_string("%s = unknown (code %s)", business, category)
+    display = (
+        F.when(category.isNull(), business)
+        .when(label == fv.UNKNOWN_LABEL, unknown)
+        .otherwise(F.concat_ws(" = ", business, F.coalesce(label, category)))
+    )
+    rows = spark.createDataFrame(
+        [tuple(s) for s in slots],
+        "slot int, encoded_name string, model_feature string, category string",
     )
+    return rows.select(
+        "slot", "encoded_name", display.alias("display_feature"), "model_feature",
+        business.alias("business_feature"), F.coalesce(sources, feature).alias("source_features"),
+        "category", label.alias("category_label"),
+    )
+
+
+NAMES = ("display_feature", "business_feature", "source_features")
+
+
+def slot_names(spark, slots: Sequence[Slot]) -> Column:
+    """Encoded name -> `NAMES`, as one constant map; a model has few encoded columns."""
+    rows = slot_frame(spark, slots).select("encoded_name", *NAMES).collect()
+    table = {r["encoded_name"]: {n: r[n] for n in NAMES} for r in rows}
+    fields = ",".join(f"{n}:string" for n in NAMES)
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,struct<{fields}>>")
 
 
 # --- global importance ---------------------------------------------------
@@ -324,19 +328,19 @@ _SLOT_TYPE = (
 )
 
 
-def _slot_table(slots: Sequence[Slot]) -> Column:
+def _slot_table(spark, slots: Sequence[Slot]) -> Column:
     """The fixed descriptions of the encoded columns as one constant array."""
     places = {f: i for i, f in enumerate(_feature_spans(slots))}
     rows = [
         {
-            "feature": s.display,
-            "model_feature": s.model_feature,
-            "source_features": list(s.sources),
-            "category": s.category,
-            "category_label": s.category_label,
-            "place": places[s.model_feature],
+            "feature": r["display_feature"],
+            "model_feature": r["model_feature"],
+            "source_features": r["source_features"].split("|"),
+            "category": r["category"],
+            "category_label": r["category_label"],
+            "place": places[r["model_feature"]],
         }
-        for s in slots
+        for r in slot_frame(spark, slots).orderBy("slot").collect()
     ]
     return F.from_json(F.lit(json.dumps(rows)), _SLOT_TYPE)
 
@@ -357,7 +361,7 @@ def with_top_factors(
     if n < 1:
         raise ValueError("at least one factor must be asked for")
     own = F.array(*(application[f].cast("string") for f in _feature_spans(slots)))
-    rows = df.withColumns({"_slots": _slot_table(slots), "_own": own})
+    rows = df.withColumns({"_slots": _slot_table(df.sparkSession, slots), "_own": own})
 
     def picks(sign: str) -> Column:
         return F.expr(

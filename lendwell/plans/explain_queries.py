@@ -114,10 +114,9 @@ def factor_labels(spark, d):
     """Encoded columns of each application with their display name."""
     rows = features(spark, d)
     slots = shap.make_slots([(f"{f}_{c}", f, c) for f, c, _, _ in scorecard(rows)])
-    names = shap.slot_frame(spark, slots).select(
-        "encoded_name", "display_feature", "business_feature", "source_features"
-    )
-    return one_hot_long(rows, "lar_id", fv.FEATURE_CATEGORICAL).join(names, "encoded_name")
+    long = one_hot_long(rows, "lar_id", fv.FEATURE_CATEGORICAL)
+    named = long.withColumn("_name", F.element_at(shap.slot_names(spark, slots), F.col("encoded_name")))
+    return named.where(F.col("_name").isNotNull()).select("*", "_name.*").drop("_name")
 
 
 QUERIES = {

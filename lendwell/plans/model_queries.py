@@ -1,7 +1,7 @@
 """Fitted models: run grid, cross-validation, holdout, scoring, explanation, evidence run.
 
-The ensembles are small (see TREES, DEPTH, FOLDS) so that a session stays short;
-the published sizes are the defaults of `run_specs`. Every query trains on, and
+Trained are the small models of `training.session_specs`, under names that tell
+their sizes; `run_specs` lists the published runs. Every query trains on, and
 answers for, all eligible applications of the given tables.
 """
 
@@ -15,16 +15,14 @@ from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
 from lendwell.operators import contracts, evidence, shap, training, workflow
-from lendwell.operators.population import uniform_sample
 from lendwell.operators.splits import stratified_folds, stratified_holdout
 from lendwell.plans.evidence_queries import ALLOWED_HOSTS, applications, policy_results
 from lendwell.plans.register_queries import normalized
 from lendwell.session import scratch_path, shared_folder
 from lendwell.sources import reports
 
-TREES, DEPTH, FOLDS = 5, 3, 3
-SPECS = training.run_specs(TREES, DEPTH)
-CHAMPION = next(s for s in SPECS if s.run_name == "catboost_tuned_02")
+SPECS = training.session_specs()
+CHAMPION = next(s for s in SPECS if s.run_name == "boosted_8x3_full")
 
 
 @cache
@@ -34,7 +32,7 @@ def split(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = training.with_label(
         stratified_holdout(normalized(spark, d), "lar_id").drop(*fv.AUDIT_ONLY)
     )
-    train = stratified_folds(rows.where(~F.col("is_holdout")), "lar_id", k=FOLDS)
+    train = stratified_folds(rows.where(~F.col("is_holdout")), "lar_id", k=fv.CV_FOLDS)
     train = train.drop(fv.TARGET).checkpoint()
     return train, rows.where(F.col("is_holdout")).drop(fv.TARGET).checkpoint()
 
@@ -51,7 +49,7 @@ def champion(spark, d):
 @cache
 def _benchmark(spark, d):
     train, holdout = split(spark, d)
-    return training.benchmark(SPECS, train, holdout, FOLDS)
+    return training.benchmark(SPECS, train, holdout, fv.CV_FOLDS)
 
 
 def inputs(spark, d) -> DataFrame:
@@ -61,7 +59,7 @@ def inputs(spark, d) -> DataFrame:
 def run_table(spark, d):
     """The run grid with the rows each run is trained on."""
     counts = split(spark, d)[0].groupBy("fold").agg(F.count(F.lit(1)).alias("validation_rows"))
-    specs = training.run_spec_frame(spark, SPECS).withColumn("params", F.to_json("params"))
+    specs = training.run_spec_frame(spark, training.run_specs()).withColumn("params", F.to_json("params"))
     one = F.lit(1).alias("_one")
     return specs.select("*", one).join(counts.select("*", one), "_one").drop("_one")
 
@@ -75,13 +73,13 @@ def train_families(spark, d):
     held_out = encoder.transform(holdout).select(*keep).checkpoint()
     weighted = training.balanced_weights(encoded)
     results = []
-    for family, params, weight in (
-        ("random_forest", {"trees": TREES, "depth": DEPTH}, "weight"),
-        ("boosted_a", {"trees": TREES, "depth": DEPTH, "rate": 0.3}, None),
-        ("boosted_b", {"trees": TREES, "depth": DEPTH + 1, "rate": 0.2}, None),
-        ("logistic", {"iterations": 20}, None),
+    for name, family, params, weight in (
+        ("forest_20x5_balanced", "random_forest", {"trees": 20, "depth": 5}, "weight"),
+        ("boosted_8x3", "boosted_trees", {"trees": 8, "depth": 3, "rate": 0.3}, None),
+        ("boosted_5x4", "boosted_trees", {"trees": 5, "depth": 4, "rate": 0.2}, None),
+        ("logistic", "logistic", {}, None),
     ):
-        spec = training.RunSpec(family, family, "full", "baseline", params)
+        spec = training.RunSpec(name, family, "full", "baseline", params)
         estimator = training.make_estimator(family, params, weight)
         model = PipelineModel([estimator.fit(weighted if weight else encoded)])
         results.append(training.holdout_metrics(model, held_out, spec))
@@ -92,7 +90,7 @@ def train_families(spark, d):
 
 
 def cv_metrics(spark, d):
-    folds = training.encode_folds(split(spark, d)[0], FOLDS)
+    folds = training.encode_folds(split(spark, d)[0], fv.CV_FOLDS)
     return training.cross_validate(CHAMPION, folds)[0]
 
 
@@ -130,15 +128,19 @@ def shap_long(spark, d):
     long = rows.select(
         "lar_id", "probability", "base_value", F.posexplode_outer("shap").alias("slot", "shap_value")
     )
-    names = shap.slot_frame(spark, slots).select("slot", "encoded_name", "model_feature")
-    return long.where(F.col("shap_value") != 0).join(names, "slot").drop("slot")
+    # One name for each encoded column, known from the model: constants, no join.
+    names = F.array(*(F.struct(F.lit(s.encoded_name).alias("e"), F.lit(s.model_feature).alias("m")) for s in slots))
+    name = F.get(names, F.col("slot"))
+    return long.where(F.col("shap_value") != 0).select(
+        "lar_id", "probability", "base_value", "shap_value",
+        name["e"].alias("encoded_name"), name["m"].alias("model_feature"),
+    )
 
 
 def model_shap_global(spark, d):
-    """Grouped importance of a uniform sample of the training rows, as CSV and JSON."""
+    """Grouped importance over all training rows, as CSV and JSON."""
     train = split(spark, d)[0].select("lar_id", *fv.PREDICTORS)
-    sample = uniform_sample(train, "lar_id", min(1000, train.count()))
-    rows, slots = workflow.explain(champion(spark, d), sample)
+    rows, slots = workflow.explain(champion(spark, d), train)
     path = scratch_path(spark, "importance")
     reports.write_table_report(shap.grouped_importance(rows, slots), path)
     return spark.read.json(f"{path}/json")
