@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +63,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
     """Rows and share (six decimals) of each value."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    # One total row: joined on a constant, as a broadcast of one row.
-    joined = counts.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
-    return joined.select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("proportion"))
+    # The input is read once; the window sees one row for each value.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.select("value", "n", F.round(F.col("n") / total, 6).alias("proportion"))
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

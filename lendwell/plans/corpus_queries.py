@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendwell import fixed_values as fv
 from lendwell.functions.text import point_id, tidy_text, url_host
 from lendwell.operators import retrieval_eval, sections, vectors
 from lendwell.plans.sql import with_ctes
@@ -293,6 +296,12 @@ UNION ALL SELECT 'item-' || item_id, 'whole text', {tidy('text')} FROM benchmark
     "chunk_ids": f"""
 SELECT printf('%s:%04d', source, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) - 1) AS chunk_id,
   source, doc_id, CAST(n - 1 AS INTEGER) AS part_no, raw AS text FROM ({_LINES})""",
+    "point_ids": f"""
+SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+  || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INTEGER % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT chunk_id, sha1(unhex('{uuid.UUID(fv.POINT_NAMESPACE).hex}') || encode('{fv.POINT_PREFIX}' || chunk_id)) AS h
+  FROM (SELECT printf('%s:%04d', source, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) - 1) AS chunk_id
+    FROM ({_LINES})))""",
     "corpus_stats": """
 SELECT (SELECT count(*) FROM documents) AS document_count,
   (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(trim(l)) > 0) AS section_count,

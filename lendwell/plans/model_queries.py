@@ -18,10 +18,18 @@ from lendwell.operators import contracts, evidence, shap, training, workflow
 from lendwell.operators.splits import stratified_folds, stratified_holdout
 from lendwell.plans.evidence_queries import ALLOWED_HOSTS, applications, policy_results
 from lendwell.plans.register_queries import normalized
+from lendwell.plans.sql import HASH, with_ctes
 from lendwell.session import scratch_path, shared_folder
 from lendwell.sources import reports
 
 SPECS = training.session_specs()
+#: Raised when the training code, or the curated table, changes.
+MODEL_VERSION, DATASET_VERSION = "2", "curated-v2"
+#: What a saved scoring pipeline must hold, whatever was saved.
+STAGES = (
+    "FeatureEngineer", "ValueImputerModel", "StringIndexerModel", "OneHotEncoderModel",
+    "VectorAssembler", "GBTClassificationModel",
+)
 CHAMPION = next(s for s in SPECS if s.run_name == "boosted_8x3_full")
 
 
@@ -43,7 +51,7 @@ def champion(spark, d):
     model = training.fit(CHAMPION, split(spark, d)[0])
     path = scratch_path(spark, "champion")
     reports.save_pipeline(model, path)
-    return reports.load_pipeline(path, tuple(type(s).__name__ for s in model.stages))
+    return reports.load_pipeline(path, STAGES)
 
 
 @cache
@@ -59,7 +67,12 @@ def inputs(spark, d) -> DataFrame:
 def run_table(spark, d):
     """The run grid with the rows each run is trained on."""
     counts = split(spark, d)[0].groupBy("fold").agg(F.count(F.lit(1)).alias("validation_rows"))
-    specs = training.run_spec_frame(spark, training.run_specs()).withColumn("params", F.to_json("params"))
+    listed = F.transform(
+        F.array_sort(F.map_entries("params")),
+        lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"].cast("string"), F.lit("none"))),
+    )
+    specs = training.run_spec_frame(spark, training.run_specs())
+    specs = specs.withColumn("params", F.array_join(listed, ";"))
     one = F.lit(1).alias("_one")
     return specs.select("*", one).join(counts.select("*", one), "_one").drop("_one")
 
@@ -113,7 +126,10 @@ def batch_score(spark, d):
     scored = training.score(champion(spark, d), inputs(spark, d))
     return scored.select(
         "lar_id", "prediction", "prediction_label", "probability",
-        F.lit(CHAMPION.run_name).alias("selected_configuration"),
+        F.lit(CHAMPION.run_name).alias("model_name"),
+        F.lit(MODEL_VERSION).alias("model_version"),
+        F.lit(DATASET_VERSION).alias("dataset_version"),
+        F.lit(CHAMPION.feature_config).alias("selected_configuration"),
         F.lit(fv.PREDICTION_NOTE).alias("warning"),
     )
 
@@ -194,4 +210,21 @@ QUERIES = {
 }
 QUERIES["run_specs"] = run_table
 
-SQL: dict[str, str] = {}
+def _listed(params: dict) -> str:
+    return ";".join(f"{k}={'none' if v is None else float(v)}" for k, v in sorted(params.items()))
+
+
+_RUNS = ", ".join(
+    f"('{s.run_name}', '{s.model_family}', '{s.feature_config}', '{s.stage}', '{_listed(s.params)}')"
+    for s in training.run_specs()
+)
+
+SQL = {
+    "run_specs": with_ctes("norm", f"""
+, held AS (SELECT lar_id, LoanApproved FROM (
+  SELECT lar_id, LoanApproved, count(*) OVER (PARTITION BY LoanApproved) AS n,
+    row_number() OVER (PARTITION BY LoanApproved ORDER BY {HASH}, lar_id) AS r FROM norm) WHERE r > round(n * {fv.HOLDOUT_SHARE})),
+folds AS (SELECT CAST((row_number() OVER (PARTITION BY LoanApproved ORDER BY {HASH}, lar_id) - 1) % {fv.CV_FOLDS} AS INTEGER) AS fold FROM held),
+rows AS (SELECT fold, count(*) AS validation_rows FROM folds GROUP BY fold)
+SELECT * FROM (VALUES {_RUNS}) s(run_name, model_family, feature_config, stage, params), rows"""),
+}

@@ -15,6 +15,7 @@ from lendwell.session import scratch_path
 from lendwell.sources import register as files
 from lendwell.sources.tables import register, table
 
+# Rows of the sampling queries, so many that the smallest tables have them.
 SAMPLE = 1_000
 
 
@@ -40,7 +41,7 @@ def scan_register(spark, d):
     rows.withColumn(f"﻿{names[0]}", F.col(f"`﻿{names[0]}`").cast("string")).write.option(
         "header", True
     ).option("compression", "gzip").option("emptyValue", "").csv(path)
-    back = files.scan_register(spark, path, extra=("lar_id",), spread=8)
+    back = files.scan_register(spark, path, extra=("lar_id",))
     return back.select(
         F.col("lar_id").cast("bigint").alias("lar_id"),
         *(clean_marker(c).alias(c) for c in files.REQUIRED_COLUMNS),
@@ -106,16 +107,16 @@ def curated_roundtrip(spark, d):
     return files.scan_curated(spark, path, "csv")
 
 
-def build_dataset(spark, d):
-    """Sample of the eligible population with its class and missing-value profile."""
+def build_dataset(spark, d, n: int = SAMPLE):
+    """Sample of `n` eligible applications with its class and missing-value profile."""
     population.require_numbers(register(spark, d))
     path = scratch_path(spark, "curated")
     files.write_curated(
-        population.uniform_sample(normalized(spark, d), "lar_id", SAMPLE), path,
+        population.uniform_sample(normalized(spark, d), "lar_id", n), path,
         limit_bytes=fv.CSV_SIZE_LIMIT,
     )
     data = files.scan_curated(spark, path)
-    contracts.require_dataset(data, SAMPLE)
+    contracts.require_dataset(data, n)
     share = profile.missingness_by(data, fv.TARGET, fv.PREDICTORS)
     counts = profile.class_distribution(data, fv.TARGET)
     return share.join(counts, share["group_value"] == counts["value"]).select(

@@ -12,14 +12,12 @@ from lendwell.session import scratch_path
 from lendwell.sources.tables import register
 from lendwell.streaming import register as streams
 
-FILES = 6
-
 
 def _source(spark, d):
     """The register landed as several files, read two files per trigger."""
     landed = scratch_path(spark, "landed")
     rows = register(spark, d)
-    rows.repartition(FILES).write.parquet(landed)
+    rows.write.parquet(landed)
     return streams.register_stream(spark, landed, rows.schema, 2)
 
 
