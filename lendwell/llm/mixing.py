@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import WORD, key_text, settle, unit_draw
+from lendwell.llm.common import WORD, attach, key_text, settle, unit_draw
 
 #: Key ranges per source. Only the range in which a source's budget ends is ordered row by row.
 RANGES = 1 << 16
@@ -109,8 +109,9 @@ def mix(
         "g.*", F.col("s.bucket").alias("edge"), F.col("s.before").alias("before")
     )
 
-    drawn = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-    drawn = drawn.select("r.*", "g.source_size", "g.target", "g.epochs", "g.rest", "g.edge", "g.before")
+    # A row for each source: a source with a third of all rows moves nothing.
+    goal = settle(goal.withColumnRenamed("source", "of"), "mix-goal")
+    drawn = attach(rows, goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     on_edge = F.col("edge").isNotNull() & (F.col("bucket") == F.col("edge"))
     order = W.partitionBy("source").orderBy("key", "doc_id", "tie", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     left = F.col("rest") - F.col("before") - (F.sum("size").over(order) - F.col("size"))
