@@ -366,8 +366,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels are never read. A score rests on the text alone.
 
     Null and empty texts: no features, so the model's base rate. Null doc_id:
-    scored, never labelled. Repeated rows: each scored alike; several labels of
-    one doc_id: the largest counts. No labels, or all alike: every score is next
+    scored, never labelled. Repeated rows: each scored alike, one of them teaches;
+    several labels of one doc_id: the largest counts. No labels, or all alike: every score is next
     to 0, or next to 1 if all are toxic. Empty table: empty result. Further
     columns are ignored.
     """
@@ -378,7 +378,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # SAMPLE rows at most, so the labels go to the documents.
     marked = settle(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labels")
-    labelled = settle(known.join(F.broadcast(marked), "doc_id").select("text", "toxic").limit(SAMPLE), "labelled")
+    labelled = known.join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    labelled = settle(labelled, "labelled")
     classifier = fit(labelled, model)
 
     @arrow_udf(T.DoubleType())
