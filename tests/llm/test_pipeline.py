@@ -108,3 +108,10 @@ def test_run_equals_the_stages(spark, stages):
     key = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
     got = sorted(map(tuple, corpus_pipeline.run(spark, folder).select(key).collect()))
     assert got == sorted(map(tuple, out[-1][2].select(key).collect()))
+
+
+def test_short_lines_on_many_sites_go(spark):
+    rows = [(i, f"All rights reserved.\nLes.\n\nown text number {i}", f"s{i}", 0) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {(i, f"\nown text number {i}") for i in range(9)}
