@@ -58,6 +58,17 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return settle(sure.unionByName(exact.select("line")), "boilerplate")
 
 
+def sites_wanted(docs: DataFrame, site: str = "source") -> int:
+    """`SITES`, or in a table of fewer than 20 sites two fifths of them, three at least; a null site is one.
+
+    Two sites say too little: a line of one document and its copy is on two.
+    """
+    place = F.col(site).cast("string")
+    found = docs.agg(F.count_distinct(place).alias("n"), F.coalesce(F.max(place.isNull().cast("int")), F.lit(0)).alias("null"))
+    row = found.first()
+    return min(SITES, max(3, -(-2 * (row["n"] + row["null"]) // 5)))
+
+
 def dedup_lines(
     docs: DataFrame, site: str = "source", sites: int = SITES, least_words: int = LEAST_WORDS, keep_rows: bool = False
 ) -> DataFrame:

@@ -58,3 +58,12 @@ def test_documents_keep_their_columns(spark):
 
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_a_table_of_few_sites_asks_for_fewer(spark):
+    wanted = []
+    for n in (2, 5, 7, 12, 20, 300):
+        df = spark.createDataFrame([(f"s{i}",) for i in range(n - 1)] + [(None,)], "source string")
+        wanted.append(lines.sites_wanted(df))
+    assert wanted == [3, 3, 3, 5, 8, 8]
+    assert lines.sites_wanted(spark.createDataFrame([], "source string")) == 3

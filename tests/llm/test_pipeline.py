@@ -115,3 +115,10 @@ def test_short_lines_on_many_sites_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = {(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {(i, f"\nown text number {i}") for i in range(9)}
+
+
+def test_seven_sources_lose_their_common_line(spark):
+    rows = [(i, f"on three sites of seven here\nown text number {i}" if i < 3 else f"own text number {i}", f"s{i}", 0) for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {(i, f"own text number {i}") for i in range(7)}
