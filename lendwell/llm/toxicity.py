@@ -5,6 +5,7 @@ is taken for a noisy copy of a plain one. Its characters span a lattice: each
 may stand for itself, for the letters it looks like, or for nothing. A character
 trigram model, counted over all documents, gives the prior; the Viterbi path is
 the restored word. Words whose lattice has one path are left as they are.
+Words that may as well end in punctuation, or hold no letter, are read both ways.
 Restored texts are scored by a logistic model over words and word beginnings.
 """
 
@@ -36,6 +37,8 @@ BEGINNINGS = range(3, 9)
 PIECE = 64
 #: Single characters in a row that count as one spaced-out word.
 SPACED = 4
+#: The same, of characters that are read beside their plain form (`masked_words`).
+MASKED_SPACED = 3
 TOKENS = 256
 
 #: What a character may stand for.
@@ -59,6 +62,10 @@ _WORDY = _LETTER.copy()
 _WORDY[48:58] = _WORDY[128:] = True
 _OPENING = _WORDY.copy()
 _OPENING[[ord(c) for c in "@$!+|"]] = True
+#: Symbols that look like a letter and, at a word's end, may as well be punctuation.
+SYMBOLS = "@$!+|("
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _INNER = np.zeros(256, bool)
 _INNER[[ord(c) for c in ".-_*"]] = True
 
@@ -93,6 +100,7 @@ def language_model(texts: DataFrame) -> np.ndarray:
 def _options(token: str) -> tuple[list[list[tuple[int, float, str]]], list[float]]:
     """Per character: (class, log cost, text) readings, and the log cost of dropping it."""
     reads, drops = [], []
+    body = len(token.rstrip(SYMBOLS))
     repeated = any(token[i] == token[i + 1] == token[i + 2] for i in range(len(token) - 2))
     for i, c in enumerate(token):
         drop = DROPPED if repeated and i and c == token[i - 1] else -math.inf
@@ -106,6 +114,8 @@ def _options(token: str) -> tuple[list[list[tuple[int, float, str]]], list[float
             reads.append([(ord(x) - 96, AS_OTHER - math.log(len(LOOKALIKE[c])), x) for x in LOOKALIKE.get(c, "")] + own)
             if c in ".-_*":
                 drop = SPACE_DROPPED
+            elif i >= body:
+                drop = DROPPED
         drops.append(drop)
     return reads, drops
 
@@ -224,6 +234,52 @@ def noisy_words(chunk: words.Chunk) -> Noisy:
     return Noisy(starts[plain], ends[plain], text[plain], tokens, np.array(owners, np.int64))
 
 
+def masked_words(chunk: words.Chunk) -> tuple[list[str], np.ndarray]:
+    """Lower-case tokens, and their texts, that `noisy_words` reads without their look-alikes.
+
+    Words that end in look-alike symbols, words of two or more look-alikes
+    without a letter, and rows of `MASKED_SPACED` single characters: the lattice
+    decides between letters, the characters themselves and punctuation. They are
+    read beside the plain form, which stays.
+    """
+    data = chunk.data
+    starts, ends = chunk.spans(words.SPACE[data])
+    if not len(starts):
+        return [], starts
+    sums = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    opening, wordy = np.flatnonzero(_OPENING[data] | _SYMBOL[data]), np.flatnonzero(_WORDY[data])
+    first = np.append(opening, len(data))[np.searchsorted(opening, starts)]
+    core = np.append(wordy, -1)[np.searchsorted(wordy, ends) - 1] + 1
+    some = first < ends
+    starts, ends, first, core = starts[some], ends[some], first[some], core[some]
+    # Symbols that follow the last letter or digit, or the first symbol, at once.
+    other = np.append(np.flatnonzero(~_SYMBOL[data]), len(data))
+    core = np.maximum(first, core)
+    last = np.minimum(other[np.searchsorted(other, core)], ends)
+    text = chunk.text_of(first)
+    size = last - first
+    letters, likes = sums(_LETTER[data] | (data >= 128)), sums(_LIKE[data])
+    tail = (last > core) & (letters[last] > letters[first])
+    bare = (size >= 2) & (likes[last] - likes[first] == size)
+    single = (ends - starts == 1) & (_LETTER[data[starts]] | _LIKE[data[starts]])
+    joined = np.zeros(len(starts), bool)
+    joined[1:] = single[1:] & single[:-1] & (starts[1:] == ends[:-1] + 1) & (text[1:] == text[:-1])
+    row = np.cumsum(~joined) - 1
+    length = np.bincount(row)[row]
+    # Longer rows are noisy words already, unless a symbol without a letter is part of them.
+    wide = np.bincount(row, single & _SYMBOL[data[starts]])[row] > 0
+    heads = single & ~joined & (length >= MASKED_SPACED) & ((length < SPACED) | wide)
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8).tobytes()
+    tokens, owners = [], []
+    for k in np.flatnonzero(heads | ((tail | bare) & ~single)):
+        stop = ends[k + length[k] - 1] if heads[k] else last[k]
+        word = lower[first[k] : stop].decode("utf-8", "replace")
+        for at in range(0, len(word), PIECE):
+            tokens.append(word[at : at + PIECE])
+            owners.append(text[k])
+    return tokens, np.array(owners, np.int64)
+
+
 def _features(chunk: words.Chunk, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of whole words and of their beginnings, by code points."""
     lead = (chunk.data & 0xC0) != 0x80
@@ -244,8 +300,10 @@ def text_features(chunk: words.Chunk, model: np.ndarray, known: np.ndarray | Non
     """Distinct (text, feature) of the restored texts; only `known` features (ordered), if given."""
     noisy = noisy_words(chunk)
     owner, feature = _features(chunk, noisy.starts, noisy.ends, noisy.text)
-    if noisy.tokens:
-        distinct, where = np.unique(np.array(noisy.tokens, dtype=object), return_inverse=True)
+    masked, masked_text = masked_words(chunk)
+    tokens, token_text = noisy.tokens + masked, np.concatenate([noisy.token_text, masked_text])
+    if tokens:
+        distinct, where = np.unique(np.array(tokens, dtype=object), return_inverse=True)
         plain = restore(list(distinct), model)
         for extra in words.chunks(pa.array(plain)):
             starts, ends = extra.spans(words.SPACE[extra.data])
@@ -255,7 +313,7 @@ def text_features(chunk: words.Chunk, model: np.ndarray, known: np.ndarray | Non
             bounds = np.searchsorted(where[order], np.arange(len(distinct) + 1))
             times = bounds[token + 1] - bounds[token]
             at = np.repeat(bounds[token], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            owner = np.concatenate([owner, noisy.token_text[order[at]]])
+            owner = np.concatenate([owner, token_text[order[at]]])
             feature = np.concatenate([feature, np.repeat(found, times)])
     if known is not None:
         if not len(known):

@@ -130,3 +130,24 @@ def test_no_labels_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.score_toxicity(docs, none).collect()] == [0]
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
+
+
+def test_masked_words_reach_the_lattice():
+    texts = ["a$$ sh!+ @$$ 455 5417 a b c", "word,! stop. 2024 x y", "", "a $ $ $", "($$ |", "é$$ idiot!"]
+    found = {}
+    for chunk in words.chunks(pa.array(texts)):
+        tokens, owner = toxicity.masked_words(chunk)
+        for i, token in zip(owner, tokens, strict=True):
+            found.setdefault(int(i) + chunk.first, []).append(token)
+    assert found == {0: ["a$$", "sh!+", "@$$", "455", "5417", "a b c"], 3: ["a $ $ $"], 4: ["($$"], 5: ["é$$", "idiot!"]}
+
+
+def test_masked_words_take_part_in_the_features(spark):
+    plain = ["nice", "ass", "shit", "that", "this", "cat"] * 200
+    docs = spark.createDataFrame([(" ".join(plain),)], "text string")
+    model = toxicity.language_model(docs)
+    assert toxicity.restore(["a$$", "sh!+", "@$$", "455", "cat!", "this$$$"], model) == ["ass", "shit", "ass", "ass", "cat", "this"]
+    for masked, word in [("a$$", "ass"), ("sh!+", "shit"), ("@$$", "ass"), ("455", "ass"), ("c a t", "cat"), ("cat!", "cat")]:
+        chunk = next(iter(words.chunks(pa.array([masked, word]))))
+        owner, feature = toxicity.text_features(chunk, model)
+        assert set(feature[owner == 1]) <= set(feature[owner == 0]), masked
