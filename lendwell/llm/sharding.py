@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lendwell.llm.common import key_text, numbered, unit_draw
 
+#: Shards that are dealt over the regions; later ones grow.
+BASE = 8
+
+
 @dataclass(frozen=True)
 class Node:
     """A region, rack or shard. A shard has a number and a weight of its own;
@@ -24,8 +28,10 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.own
 
 
-def tree(shards: int, regions: int = 2, racks: int = 2) -> Node:
-    """`shards` equal shards below `regions` x `racks`, dealt in order."""
+def tree(shards: int, regions: int = 2, racks: int = 2, base: int = BASE) -> Node:
+    """`shards` equal shards: `base` at most below `regions` x `racks`, dealt in order, the others grown one by one."""
+    if shards > base:
+        return grown(tree(shards - 1, regions, racks, base), shards - 1)
     cells: list[list[list[Node]]] = [[[] for _ in range(racks)] for _ in range(regions)]
     for k in range(shards):
         at = k * regions * racks // shards
@@ -70,9 +76,20 @@ def place(key: Column, node: Node, seed: str = "shard") -> Column:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, seed: str = "shard") -> DataFrame:
+def shards_of(node: Node) -> list[int]:
+    """The numbers of the shards below `node`."""
+    return [node.shard] if node.shard is not None else [s for c in node.children for s in shards_of(c)]
+
+
+def shard_documents(
+    docs: DataFrame, shards: int = BASE, seed: str = "shard", root: Node | None = None, weight: float = 1.0
+) -> DataFrame:
     """Shard, slot and the shard after growth of every document.
 
+    `root`, if given, is the tree to place by, else it is `tree(shards)`; the
+    growth is `grown` by one shard of `weight`. From `BASE` shards on,
+    `grown_shard` is the `shard` of a call with one shard more.
+
     The law is `key`: doc_id and the tree decide, whatever the other documents
     are. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -80,7 +97,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: str = "shard") -> Da
     empty text. Repeated rows: each has a slot of its own. Empty table: empty
     result. Further columns are ignored.
     """
-    root = tree(shards)
+    root = root or tree(shards)
+    more = grown(root, max(shards_of(root)) + 1, weight)
     text = F.coalesce(F.col("text"), F.lit(""))
     key = key_text(F.col("doc_id"))
     rows = docs.select(
@@ -89,7 +107,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: str = "shard") -> Da
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
         place(key, root, seed).cast("int").alias("shard"),
-        place(key, grown(root, shards), seed).cast("int").alias("grown_shard"),
+        place(key, more, seed).cast("int").alias("grown_shard"),
     )
     by = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     return numbered(rows, "shard", by, "slot").select(

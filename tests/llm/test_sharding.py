@@ -78,3 +78,12 @@ def test_tree_shapes():
 
 def test_empty_table(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_growth_is_the_placement_of_one_shard_more(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    by = lambda c, **how: {r.doc_id: r[c] for r in sharding.shard_documents(df, **how).collect()}
+    for shards in (8, 9):
+        assert by("grown_shard", shards=shards) == by("shard", shards=shards + 1)
+    heavy = sharding.grown(sharding.tree(3), 3, 5.0)
+    assert by("grown_shard", shards=3, weight=5.0) == by("shard", root=heavy)
