@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendwell.llm import lines, mixing, multiindex, packing, partenum, pii, quality, sharding, toxicity, warc
+from lendwell.llm import lines, mixing, multiindex, packing, partenum, pii, prefix_trie, quality, sharding, toxicity, warc
 from lendwell.llm.common import load
 
 
@@ -61,6 +61,11 @@ def op10_hash_tree_sharding(spark, d):
     return sharding.shard_documents(load(spark, d, "documents"))
 
 
+def op13_prefix_trie(spark, d):
+    """Every conversation of the table, rebuilt with the shared first turns of its group of five."""
+    return prefix_trie.trie(load(spark, d, "conversations")).drop("node")
+
+
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_partenum_join": op2_partenum_join,
@@ -72,10 +77,12 @@ QUERIES = {
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_line_site_spread": op9_line_site_spread,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
     "op1_warc_normaliser": warc.SQL,
     "op7_source_mixing": mixing.SQL,
     "op9_line_site_spread": lines.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
