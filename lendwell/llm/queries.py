@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendwell.llm import lines, mixing, multiindex, packing, partenum, pii, prefix_trie, quality, sharding, toxicity, warc
+from lendwell.llm import (
+    lines,
+    mixing,
+    multiindex,
+    packing,
+    partenum,
+    phrase_index,
+    pii,
+    prefix_trie,
+    quality,
+    sharding,
+    spelling,
+    toxicity,
+    warc,
+)
 from lendwell.llm.common import load
 
 
@@ -61,6 +75,16 @@ def op10_hash_tree_sharding(spark, d):
     return sharding.shard_documents(load(spark, d, "documents"))
 
 
+def op11_positional_index(spark, d):
+    """Every document of the table against all windows of ten words of the benchmark."""
+    return phrase_index.contamination(load(spark, d, "documents"), load(spark, d, "benchmark")).drop("items")
+
+
+def op12_spelling_variants(spark, d):
+    """Every word of the documents table with the frequent spelling it varies."""
+    return spelling.spelling_variants(load(spark, d, "documents"))
+
+
 def op13_prefix_trie(spark, d):
     """Every conversation of the table, rebuilt with the shared first turns of its group of five."""
     return prefix_trie.trie(load(spark, d, "conversations")).drop("node")
@@ -77,6 +101,8 @@ QUERIES = {
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_line_site_spread": op9_line_site_spread,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
+    "op11_positional_index": op11_positional_index,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -84,5 +110,7 @@ SQL: dict[str, str] = {
     "op1_warc_normaliser": warc.SQL,
     "op7_source_mixing": mixing.SQL,
     "op9_line_site_spread": lines.SQL,
+    "op11_positional_index": phrase_index.SQL,
+    "op12_spelling_variants": spelling.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }

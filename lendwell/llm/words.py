@@ -90,8 +90,8 @@ class Chunk:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
-def chunks(texts: pa.Array) -> Iterator[Chunk]:
-    """The texts of an Arrow column without nulls, `CHUNK` bytes at a time."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
+    """The texts of an Arrow column without nulls, `size` bytes at a time."""
     texts = texts.cast(pa.large_string())
     if not len(texts):
         return
@@ -100,7 +100,7 @@ def chunks(texts: pa.Array) -> Iterator[Chunk]:
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         to = min(to, len(texts))
         yield Chunk(at, offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]])
         at = to
