@@ -22,6 +22,8 @@ from lendwell.llm.common import numbered
 
 WINDOW = 1024
 END = 0
+#: Slacks that a window may be content with; a plan is made for each.
+SLACKS = (0, 1, 2, 4, 8, 12, 16, 24, 32, 48)
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SPECIAL = "<|endoftext|>"
 _encoders: dict = {}
@@ -37,8 +39,10 @@ def vocabulary() -> tuple[str, str]:
 def encoder(path: str, pattern: str):
     """A tokenizer over a file of ranks, one per Python worker.
 
-    It gives the ids of the same vocabulary's JSON form (the tests compare them)
-    at about five times the speed; the special token's text counts as that token.
+    Declared difference: ids are taken by `tiktoken` from the rank form of the
+    50k vocabulary, not by `tokenizers` from its JSON form. They are the same ids
+    (the tests compare them) at about five times the speed; the special token's
+    text counts as that token. A very long text is encoded whole, in its task.
     """
     if (path, pattern) not in _encoders:
         import tiktoken
@@ -71,15 +75,17 @@ def pieces(docs: DataFrame, window: int, path: str, pattern: str, with_ids: bool
     return rows.mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
 
 
-def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
+def fill(counts: dict[int, int], room: int, slack: int = 0) -> list[tuple[int, int]]:
     """The multiset of lengths with the largest sum up to `room`, as (length, copies).
 
     Bit s of `reach` says that some multiset sums to s. A length that occurs c
     times is added in doubling batches, so that up to c copies are covered; the
     bits after every length are kept, and the copies are read off backwards.
+    Lengths are added from the longest on, until a sum leaves at most `slack`.
     """
-    reach, steps, goal = 1, [], 1 << room
-    mask = (goal << 1) - 1
+    reach, steps = 1, []
+    mask = (1 << (room + 1)) - 1
+    goal = mask >> max(0, room - slack) << max(0, room - slack)
     for length in sorted((n for n in counts if counts[n] and n <= room), reverse=True):
         steps.append((length, reach))
         left, batch = min(counts[length], room // length), 1
@@ -101,18 +107,25 @@ def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     return out
 
 
-def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[list[tuple[int, int]], int]]:
+def plan(counts: dict[int, int], window: int = WINDOW, slacks: tuple[int, ...] = SLACKS) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns of lengths and how many windows follow each.
 
     The longest remainder left opens a window, `fill` picks what leaves the
     least slack, and the pattern is repeated until one of its lengths runs out.
-    So there are at most about as many patterns as lengths.
+    So there are at most about as many patterns as lengths. Short remainders
+    spent on the last few tokens of early windows are missed in later ones; so
+    plans that are content with some slack are made too, and the one of fewest
+    windows counts.
     """
+    return min((_planned(counts, window, slack) for slack in slacks), key=lambda made: sum(times for _, times in made))
+
+
+def _planned(counts: dict[int, int], window: int, slack: int) -> list[tuple[list[tuple[int, int]], int]]:
     left, out = {n: c for n, c in counts.items() if c}, []
     while left:
         first = max(left)
         left[first] -= 1
-        chosen = dict(fill(left, window - first))
+        chosen = dict(fill(left, window - first, slack))
         left[first] += 1
         chosen[first] = chosen.get(first, 0) + 1
         times = min(left[n] // c for n, c in chosen.items())
