@@ -8,7 +8,8 @@ vector of a visited cell is verified by its cosine in double precision.
 
 All vectors search, so a pair is missed only if both searches miss it. Vectors
 meet by label and first code: a search is sent once for each first code among
-its cells, with the second codes it visits there.
+its cells. There one product verifies it against all cells of that code, those
+beyond the visited ones included; no link that is verified is dropped.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ CODES_MOST = 512
 #: Members and searches of one block.
 MEMBERS, QUERIES = 4096, 8192
 _CODES = T.StructType(
-    [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))]
+    [T.StructField("i", T.IntegerType()), T.StructField("firsts", T.ArrayType(T.IntegerType()))]
 )
 
 
@@ -134,30 +135,26 @@ def _usable(v: Column, label: Column) -> Column:
 def _block(members: pa.Table, searches: pa.Table, codes: int, threshold: float) -> pd.DataFrame:
     """Links between the members of a first code and the searches that visit it.
 
-    A link that the other side's search also finds is counted there for the
-    other vector; else it is counted here for both. `root` names the least
+    A link that the other side's search also finds, since it visits this side's
+    first code, is counted there for the other vector; else it is counted here
+    for both. `root` names the least
     vector connected within the block.
     """
     m, q = unit(members["v"].combine_chunks()), unit(searches["v"].combine_chunks())
     m_cls, q_cls = members["cls"].to_numpy(), searches["cls"].to_numpy()
     m_copies, q_copies = members["copies"].to_numpy(), searches["copies"].to_numpy()
-    m_code, q_cell = members["j"].to_numpy(), searches["i"].to_numpy().astype(np.int64) * codes + searches["j"].to_numpy()
-    seconds = searches["seconds"].combine_chunks()
-    visited = np.zeros((len(q), codes), bool)
-    visited[np.repeat(np.arange(len(q)), np.diff(seconds.offsets)), seconds.flatten().to_numpy()] = True
     at_q, at_m = [], []
     for low in range(0, len(q), 512):
-        link = (q[low : low + 512] @ m.T >= threshold) & visited[low : low + 512][:, m_code]
-        a, b = np.nonzero(link)
+        a, b = np.nonzero(q[low : low + 512] @ m.T >= threshold)
         at_q.append(a + low)
         at_m.append(b)
     a, b = np.concatenate(at_q), np.concatenate(at_m)
     other = q_cls[a] != m_cls[b]
     a, b = a[other], b[other]
-    lists = members["visits"].combine_chunks()
+    lists = members["firsts"].combine_chunks()
     owner = np.repeat(np.arange(len(m)), np.diff(lists.offsets))
-    known = np.sort(owner * codes**2 + lists.flatten().to_numpy())
-    asked = b * codes**2 + q_cell[a]
+    known = np.sort(owner * codes + lists.flatten().to_numpy())
+    asked = b * codes + searches["i"].to_numpy()[a]
     both = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(a), bool)
     q_links, m_links = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64)
     np.add.at(q_links, a, m_copies[b])
@@ -239,20 +236,22 @@ def _search(classes: DataFrame, count: int, threshold: float, recall: float) ->
 
     @arrow_udf(_CODES)
     def coded(v: pa.Array) -> pa.Array:
-        parts = [np.zeros((0, 1), np.int64)]
+        own, firsts, bounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for at in range(0, len(v), 2048):
-            parts.append(grid.cells(unit(v.slice(at, 2048))))
-        cells = np.concatenate(parts[1:]) if len(parts) > 1 else parts[0]
-        own = cells[:, 0].astype(np.int32)
+            cells = grid.cells(unit(v.slice(at, 2048)))
+            own.append(cells[:, 0] // codes)
+            rows = np.sort(cells // codes, axis=1)
+            fresh = np.c_[np.ones(len(rows), bool), rows[:, 1:] != rows[:, :-1]]
+            firsts.append(rows[fresh])
+            bounds.append(bounds[-1][-1] + np.cumsum(fresh.sum(1)))
         lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel().astype(np.int32))
+            pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(firsts).astype(np.int32))
         )
-        return pa.StructArray.from_arrays([pa.array(own // codes), pa.array(own % codes), lists], fields=pa_fields)
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(own).astype(np.int32)), lists], fields=pa_fields)
 
-    pa_fields = [pa.field("i", pa.int32()), pa.field("j", pa.int32()), pa.field("visits", pa.list_(pa.int32()))]
+    pa_fields = [pa.field("i", pa.int32()), pa.field("firsts", pa.list_(pa.int32()))]
     placed = settle(classes.select("cls", "label", "copies", "v", coded("v").alias("c")).select("cls", "label", "copies", "v", "c.*"), "coded")
-    firsts = F.array_distinct(F.transform("visits", lambda c: F.floor(c / codes).cast("int")))
-    asked = placed.select("cls", "label", F.explode(firsts).alias("code"))
+    asked = placed.select("cls", "label", F.explode("firsts").alias("code"))
     # How many blocks each label and first code needs.
     size = placed.groupBy("label", F.col("i").alias("code")).agg(F.count(F.lit(1)).alias("m"))
     load = asked.groupBy("label", "code").agg(F.count(F.lit(1)).alias("q"))
@@ -262,13 +261,11 @@ def _search(classes: DataFrame, count: int, threshold: float, recall: float) ->
     plan = settle(plan, "grid")
     members = attach(placed.withColumn("code", F.col("i")), plan, ["label", "code"])
     members = members.withColumn("mb", F.pmod(F.xxhash64("cls"), "ms")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    members = members.select("label", "code", "mb", F.col("qb").cast("long").alias("qb"), "cls", "copies", "v", "j", "visits")
-    searches = attach(placed.withColumn("code", F.explode(firsts)), plan, ["label", "code"])
-    here = F.filter("visits", lambda c: F.floor(c / codes) == F.col("code"))
-    searches = searches.withColumn("seconds", F.transform(here, lambda c: F.pmod(c, F.lit(codes))))
+    members = members.select("label", "code", "mb", F.col("qb").cast("long").alias("qb"), "cls", "copies", "v", "firsts")
+    searches = attach(placed.withColumn("code", F.explode("firsts")), plan, ["label", "code"])
     searches = searches.withColumn("qb", F.pmod(F.xxhash64("cls", F.lit(1)), "qs")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
     # Columns of their own, since both sides come from one frame.
-    searches = searches.select(F.col("mb").cast("long").alias("mb"), *[F.col(c).alias(c) for c in ("label", "code", "qb", "cls", "copies", "v", "i", "j", "seconds")])
+    searches = searches.select(F.col("mb").cast("long").alias("mb"), *[F.col(c).alias(c) for c in ("label", "code", "qb", "cls", "copies", "v", "i")])
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

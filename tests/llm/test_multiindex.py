@@ -86,6 +86,21 @@ def test_visits_reach_the_wanted_recall():
     assert 0.92 <= hit.mean() <= 0.99
 
 
+def test_recall_on_planted_neighbours(spark):
+    """20,000 vectors, half of them at a cosine just above the threshold of another."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1)[:, None] * x
+    y = 0.9302 * x + np.sqrt(1 - 0.9302**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    got = multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    found = {r.vec_id for r in got.filter("n_links > 0").collect()}
+    recall = sum(i in found for i in range(20_000)) / 20_000
+    assert recall >= 0.99, recall
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert multiindex.near_duplicates(df).count() == 0
