@@ -9,8 +9,8 @@ from lendwell.llm.common import attach, settle
 
 #: Distinct sites from which on a line is boilerplate.
 SITES = 8
-#: Shorter lines recur on many sites by chance and are left alone.
-LEAST_WORDS = 4
+#: Lines of fewer words are left alone; a line without a word says nothing.
+LEAST_WORDS = 1
 #: log2 of the sketch's registers; the relative error is about 1.04 / sqrt(2^12) = 1.6 %.
 PRECISION = 12
 #: Estimates within this share of the threshold are settled by an exact count: six errors wide.
@@ -83,6 +83,7 @@ def dedup_lines(
 
     Null text: no lines, stays null. Empty text: one empty line, stays. Null
     site: a site of its own. Null doc_id and repeated rows: each treated alike.
+    Very long texts are split in their task; a line is a line at any length.
     Empty table: empty result. Further columns are ignored.
     """
     key = F.xxhash64("doc_id", "text")
@@ -121,8 +122,9 @@ WITH l AS (
   FROM documents
 ), bad AS (
   SELECT line FROM l
-  WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 4
-  GROUP BY line HAVING count(DISTINCT coalesce('=' || source, 'null')) >= 8
+  WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 1
+  GROUP BY line HAVING count(DISTINCT coalesce('=' || source, 'null')) >= (
+    SELECT least(8, greatest(3, ceil(2 * count(DISTINCT coalesce('=' || source, 'null')) / 5.0))) FROM documents)
 ), b AS (
   SELECT coalesce(list(line), []) AS lines FROM bad
 ), r AS (

@@ -63,8 +63,9 @@ def op8_minimum_bin_slack(spark, d):
 
 
 def op9_line_site_spread(spark, d):
-    """Every document of the table without the lines that eight or more sources share."""
-    out = lines.dedup_lines(load(spark, d, "documents"))
+    """Every document of the table without the lines that eight or more sources share, or fewer where there are few."""
+    docs = load(spark, d, "documents")
+    out = lines.dedup_lines(docs, sites=lines.sites_wanted(docs))
     return out.select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
     )

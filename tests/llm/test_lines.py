@@ -35,8 +35,9 @@ def test_lines_equal_the_definition(spark):
     rows += [(0, rows[0][1], "a"), (None, "too short", None), (1, None, "b"), (2, "", "c"), (2, "", "c")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, line string")
     for sites in (2, 6, 9):
-        got = lines.dedup_lines(df, sites=sites).collect()
-        assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got), key=str) == brute(rows, sites, 4)
+        for least in (1, 4):
+            got = lines.dedup_lines(df, sites=sites, least_words=least).collect()
+            assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got), key=str) == brute(rows, sites, least)
 
 
 def test_wide_and_near_threshold_spreads(spark):
