@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param.shared import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -132,6 +132,24 @@ class ValueImputerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         )
 
 
+class ClassNames(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Carries the names of the classes, in the order of their label numbers, in a
+    saved pipeline; rows pass unchanged."""
+
+    classes = Param(Params._dummy(), "classes", "class names by label", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, classes: Sequence[str] = ()):
+        super().__init__()
+        self._set(classes=list(classes))
+
+    def names(self) -> list[str]:
+        return self.getOrDefault(self.classes)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset
+
+
 def encoder_stages(
     numeric: Sequence[str], text: Sequence[str], output: str = "encoded", drop_first: bool = False
 ) -> list:

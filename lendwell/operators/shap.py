@@ -1,4 +1,8 @@
-"""Tree SHAP for whole tables and the importance tables built from it.
+"""Shapley values for whole tables, by kind of model, and the importance tables built from them.
+
+Boosted trees are explained on the log-odds scale, bagged trees on the scale of
+the probability, both by Tree SHAP; logistic regression by its closed form, on
+the log-odds scale. Other models are refused.
 
 Contributions stay one array per row. Grouping encoded columns to features and
 picking the strongest factors happen inside the row, so explaining a table
@@ -16,8 +20,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +63,7 @@ def _tree_nodes(model, spark) -> pd.DataFrame:
             F.col("treeID").alias("tree"),
             node["id"].alias("id"),
             node["prediction"].alias("prediction"),
+            node["impurityStats"].alias("classes"),
             node["rawCount"].alias("cover"),
             node["leftChild"].alias("left"),
             node["rightChild"].alias("right"),
@@ -80,35 +91,60 @@ def _split_sides(row: dict) -> tuple[int, tuple[int, float], int]:
     return (j, (low, 0.5), high) if values[0] == 0.0 else (j, (high, 0.5), low)
 
 
-def read_leaves(model, spark) -> tuple[list[Leaf], float]:
-    """Leaves of a boosted-tree classifier on the log-odds scale, and the base value.
+def shap_scale(model) -> str:
+    """What the values of a model of this kind add up to; other kinds are refused."""
+    if isinstance(model, RandomForestClassificationModel):
+        return "probability"
+    if isinstance(model, (GBTClassificationModel, LogisticRegressionModel)):
+        return "log_odds"
+    raise TypeError(f"no explanation for {type(model).__name__}")
+
+
+def _leaf_values(model, positive: int):
+    """(leaf, weight of its tree) -> what the leaf adds to the model's output."""
+    scale = shap_scale(model)
+    if model.numClasses != 2 or positive not in (0, 1):
+        raise ValueError(f"two classes are needed, found {model.numClasses}")
+    if scale == "probability":
+        # The forest averages its trees' class shares.
+        trees = model.getNumTrees
+        return lambda leaf, _: float(leaf["classes"][positive]) / float(sum(leaf["classes"])) / trees
+    if not isinstance(model, GBTClassificationModel):
+        raise TypeError(f"{type(model).__name__} has no trees")
+    # Margin 2 * sum(weight * tree) is the log-odds of class 1.
+    sign = 2.0 if positive == 1 else -2.0
+    return lambda leaf, weight: sign * weight * float(leaf["prediction"])
+
+
+def read_leaves(model, spark, positive: int = 1) -> tuple[list[Leaf], float]:
+    """Leaves of boosted or bagged trees on the model's scale, and the base value.
 
     The size of the ensemble is a training parameter, not a function of the data,
     so it is read on the driver and shipped to the tasks.
     """
+    value_of = _leaf_values(model, positive)
     leaves: list[Leaf] = []
     base = 0.0
     for _, tree in _tree_nodes(model, spark).groupby("tree"):
         rows = tree.set_index("id").to_dict("index")
-        # Margin 2 * sum(weight * tree) is the log-odds of the positive class.
-        scale = 2.0 * float(next(iter(rows.values()))["weight"])
+        weight = float(next(iter(rows.values()))["weight"])
         root_cover = float(rows[0]["cover"])
         stack: list[tuple[int, dict[int, tuple[float, float, float]]]] = [(0, {})]
         while stack:
             node_id, box = stack.pop()
             row = rows[node_id]
             if row["left"] < 0:
-                f = sorted(box)
+                f, value = sorted(box), value_of(row, weight)
                 leaves.append(
                     Leaf(
-                        scale * float(row["prediction"]),
+                        value,
                         np.array(f, dtype=np.int64),
                         np.array([box[i][0] for i in f]),
                         np.array([box[i][1] for i in f]),
                         np.array([box[i][2] for i in f]),
                     )
                 )
-                base += scale * float(row["prediction"]) * float(row["cover"]) / root_cover
+                base += value * float(row["cover"]) / root_cover
                 continue
             j, below, above = _split_sides(row)
             lo, hi, cold = box.get(j, (-math.inf, math.inf, 1.0))
@@ -165,11 +201,11 @@ def shap_matrix(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
 
 
 def tree_shap(
-    scored: DataFrame, model, vector: str = "encoded", output: str = "shap"
+    scored: DataFrame, model, vector: str = "encoded", output: str = "shap", positive: int = 1
 ) -> DataFrame:
     """Add the SHAP array of each row and `base_value`; rows keep their partitions."""
     spark = scored.sparkSession
-    leaves, base = read_leaves(model, spark)
+    leaves, base = read_leaves(model, spark, positive)
     shared = spark.sparkContext.broadcast(
         [(x.value, x.features, x.lo, x.hi, x.cold) for x in leaves]
     )
@@ -194,6 +230,60 @@ def tree_shap(
     )
 
 
+def vector_means(df: DataFrame, vector: str = "encoded") -> list[float]:
+    """Mean of every encoded column, from one aggregate."""
+    mean = df.agg(Summarizer.mean(F.col(vector)).alias("m")).first()["m"]
+    if mean is None:
+        raise ValueError("no rows to compare with")
+    return [float(x) for x in mean.toArray()]
+
+
+def linear_shap(
+    scored: DataFrame, model, means: Sequence[float], vector: str = "encoded", output: str = "shap",
+    positive: int = 1,
+) -> DataFrame:
+    """The same columns as `tree_shap` for a logistic model: weight * (value - mean).
+
+    These are the Shapley values of a linear model over independent columns
+    with the given means; built-in array expressions only.
+    """
+    if model.numClasses != 2 or len(means) != model.numFeatures:
+        raise ValueError(f"{model.numClasses} classes, {len(means)} means for {model.numFeatures} columns")
+    sign = 1.0 if positive == 1 else -1.0
+    weights = [sign * float(w) for w in model.coefficients.toArray()]
+    base = sign * float(model.intercept) + sum(w * m for w, m in zip(weights, means))
+    vectors = [f.name for f in scored.schema.fields if isinstance(f.dataType, VectorUDT)]
+    rows = scored.withColumn(f"{vector}_values", vector_to_array(vector)).drop(*vectors)
+    centred = F.zip_with(f"{vector}_values", F.array(*map(F.lit, means)), lambda x, m: x - m)
+    values = F.zip_with(centred, F.array(*map(F.lit, weights)), lambda x, w: w * x)
+    return rows.withColumn(output, values).withColumn("base_value", F.lit(base))
+
+
+def explain_rows(
+    scored: DataFrame, model, background: DataFrame | None = None, vector: str = "encoded", positive: int = 1
+) -> DataFrame:
+    """Add `shap` and `base_value` by the model's kind.
+
+    A linear model is compared with the means of `background`, by default of the
+    explained rows themselves; trees know their training rows.
+    """
+    shap_scale(model)
+    if isinstance(model, LogisticRegressionModel):
+        return linear_shap(scored, model, vector_means(background or scored, vector), vector, positive=positive)
+    return tree_shap(scored, model, vector, positive=positive)
+
+
+def additivity(explained: DataFrame, model, probability: str = "probability") -> DataFrame:
+    """Rows, and whether base value and contributions add up to the model's output on each."""
+    total = F.col("base_value") + F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
+    given = F.col(probability)
+    if shap_scale(model) == "log_odds":
+        total = 1.0 / (1.0 + F.exp(-total))
+    return explained.agg(
+        F.count(F.lit(1)).alias("rows"), (F.count_if(F.abs(total - given) > 1e-9) == 0).alias("additive")
+    )
+
+
 # --- descriptors ---------------------------------------------------------
 
 

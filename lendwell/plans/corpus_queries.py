@@ -14,7 +14,7 @@ from lendwell.functions.text import point_id, tidy_text, url_host
 from lendwell.operators import retrieval_eval, sections, vectors
 from lendwell.plans.sql import with_ctes
 from lendwell.session import scratch_path
-from lendwell.sources import corpus
+from lendwell.sources import corpus, reports
 from lendwell.sources.tables import table
 
 SYLLABLES = (("in", "on"), ("an", "en"), ("re", "er"))
@@ -91,16 +91,86 @@ def manifest_check(spark, d):
     The manifest was made from cleaned texts before the German documents came.
     """
     docs = table(spark, d, "documents")
-    actual = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("actual"))
-    stored = docs.where(F.col("lang") != "de").select(
-        "doc_id", F.sha2(tidy_text("text").cast("binary"), 256).alias("stored")
+    actual = docs.select("doc_id", *corpus.fingerprint("text"))
+    listed = docs.where(F.col("lang") != "de").select("doc_id", *corpus.fingerprint(tidy_text("text")))
+    return corpus.manifest_status(actual, listed, "doc_id")
+
+
+#: Members of one landed JSON file, about.
+FILE_MEMBERS = 500
+
+
+def _file(rows: DataFrame, key: str):
+    """Which of the landed files a row goes to; their number follows the table's size."""
+    return F.pmod(F.xxhash64(key), F.lit(1 + rows.count() // FILE_MEMBERS))
+
+
+def manifest_scan(spark, d):
+    """Pages as the documents of landed manifests, scanned back."""
+    pages = table(spark, d, "pages")
+    fields = F.struct(
+        F.col("page_id").cast("string").alias("source_id"), url_host("url").alias("institution"),
+        F.col("url").alias("source_url"), F.lit("text/html").alias("media_type"), *corpus.fingerprint("html"),
+    )
+    path = scratch_path(spark, "manifests")
+    corpus.write_documents(pages, path, "documents", fields, _file(pages, "page_id"))
+    return corpus.scan_manifest(spark, path).select(
+        "source_id", "institution", "source_url", "media_type", "sha256", "bytes", "title"
     )
-    status = (
-        F.when(F.col("stored").isNull(), "new")
-        .when(F.col("stored") == F.col("actual"), "match")
-        .otherwise("mismatch")
+
+
+def eval_set_scan(spark, d):
+    """Benchmark items as landed evaluation sets in which every third leaves optional fields out."""
+    items = table(spark, d, "benchmark")
+    bare = F.col("item_id") % 3 == 0
+    fields = F.struct(
+        F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"),
+        F.when(~bare, "additional").alias("evaluation_group"),
+        F.when(~bare, F.array(F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")))).alias("expected_source_ids"),
+        F.when(F.col("item_id") % 3 == 1, F.lit(True)).alias("expected_no_relevant_source"),
     )
-    return actual.join(stored, "doc_id", "left").select("doc_id", status.alias("status"))
+    path = scratch_path(spark, "eval-sets")
+    corpus.write_documents(items, path, "queries", fields, _file(items, "item_id"))
+    return corpus.scan_eval_set(spark, path).select(
+        "query_id", "query", "evaluation_group", "query_type",
+        F.concat_ws(",", "expected_source_ids").alias("expected_source_ids"),
+        F.size("expected_concepts").alias("concepts"), "expected_no_relevant_source",
+    )
+
+
+def html_files(spark, d):
+    """Pages landed as one file each: digest and text as the two file scans see them."""
+    path = scratch_path(spark, "html")
+    table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    number = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id")
+    texts = corpus.scan_html(spark, path, "*.txt").select(number, F.length("html").alias("n_chars"))
+    return corpus.scan_files(spark, path, "*.txt").select(number, "sha256", "bytes").join(texts, "page_id")
+
+
+def run_summary_scan(spark, d):
+    """A nested report over line items, return flags standing for runs, scanned back to rows."""
+    runs = table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.max("l_quantity").cast("double").alias("most")
+    )
+    fields = F.struct(
+        F.col("l_returnflag").alias("run_name"), F.lit("baseline").alias("stage"),
+        F.create_map(F.lit("rows"), "n", F.lit("most"), "most").alias("metrics"),
+    )
+    path = scratch_path(spark, "summaries")
+    corpus.write_documents(runs, path, "cv_runs", fields, F.pmod(F.xxhash64("l_returnflag"), F.lit(3)))
+    return reports.scan_run_summary(spark, path).select(
+        "run_name", "stage", "model_family", F.col("metrics")["rows"].alias("n"), F.col("metrics")["most"].alias("most")
+    )
+
+
+def json_safe_numbers(spark, d):
+    """Event values with infinities and NaN among them, through the JSON report sink."""
+    bad = F.when(F.col("event_id") % 5 == 0, F.lit(float("inf"))).when(F.col("event_id") % 7 == 0, F.lit(float("nan")))
+    value = bad.otherwise(F.col("value").cast("double"))
+    rows = table(spark, d, "events").select("event_id", value.alias("x"), F.array(value, F.lit(1.0)).alias("xs"))
+    path = scratch_path(spark, "numbers")
+    reports.write_json_report(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("event_id", "x", F.get("xs", F.lit(0)).alias("x0"), F.size("xs").alias("n"))
 
 
 def index_reconcile(spark, d):
@@ -214,6 +284,29 @@ def benchmark_retrieval(spark, d):
     return hits.select("query_id", "rank", "chunk_id", "source_id", F.round("score", 7).alias("score"))
 
 
+def _text_chunks(docs: DataFrame) -> DataFrame:
+    """Documents as one chunk each."""
+    empty = [F.lit("").alias(c) for c in ("institution", "source_url")]
+    return docs.select(
+        F.format_string("doc:%06d", "doc_id").alias("chunk_id"), F.col("source").alias("source_id"),
+        F.col("source").alias("source_title"), *empty, F.col("lang").alias("page_or_section"), "text",
+    )
+
+
+def refresh_vectors(spark, d):
+    """A vector table of the raw texts without German, brought up to cleaned texts without one source."""
+    docs = table(spark, d, "documents")
+    embedder = vectors.KeywordEmbedder(SYLLABLES)
+    path = scratch_path(spark, "vector-table")
+    old = _text_chunks(docs.where(F.col("lang") != "de"))
+    vectors.write_vector_table(vectors.build_vectors(old, embedder), path)
+    new = _text_chunks(docs.where(F.col("source") != "src7").withColumn("text", tidy_text("text")))
+    vectors.refresh_vector_table(spark, path, new, embedder)
+    return spark.read.parquet(path).select(
+        "chunk_id", F.sha2("text", 256).alias("sha256"), *(F.round(F.col("embedding")[i], 9).alias(f"v{i}") for i in range(3))
+    )
+
+
 def chunk_sink(spark, d):
     """Chunks of the HTML sections through the JSON-lines sink and back."""
     parts = html_sections(spark, d).select(
@@ -235,6 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text, content_fingerprint, page_sections, section_union, html_sections,
+        manifest_scan, eval_set_scan, html_files, run_summary_scan, json_safe_numbers, refresh_vectors,
         chunk_documents, chunk_ids, point_ids, corpus_stats, manifest_check, index_reconcile,
         keyword_embed, hashed_embed, vector_table_check, cosine_topk, retrieval_metrics,
         retrieval_ood_metrics, benchmark_retrieval, chunk_sink,
@@ -318,6 +412,28 @@ FROM documents WHERE lang <> 'de' OR source <> 'src7'""",
     "keyword_embed": f"""
 SELECT doc_id, round(a / sqrt(a*a + b*b + c*c), 9) AS v0, round(b / sqrt(a*a + b*b + c*c), 9) AS v1,
   round(c / sqrt(a*a + b*b + c*c), 9) AS v2 FROM (SELECT doc_id, {keyword_sql('text')} FROM documents)""",
+    "manifest_scan": r"""
+SELECT CAST(page_id AS VARCHAR) AS source_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS institution,
+  url AS source_url, 'text/html' AS media_type, sha256(html) AS sha256, strlen(html) AS bytes, CAST(NULL AS VARCHAR) AS title
+FROM pages""",
+    "eval_set_scan": """
+SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query,
+  CASE WHEN item_id % 3 = 0 THEN 'directed' ELSE 'additional' END AS evaluation_group, 'directed' AS query_type,
+  CASE WHEN item_id % 3 = 0 THEN '' ELSE 'src' || (item_id % 7) END AS expected_source_ids,
+  CAST(0 AS INTEGER) AS concepts, item_id % 3 = 1 AS expected_no_relevant_source FROM benchmark""",
+    "html_files": """
+SELECT page_id, sha256(html || chr(10)) AS sha256, strlen(html) + 1 AS bytes, CAST(length(html) + 1 AS INTEGER) AS n_chars FROM pages""",
+    "run_summary_scan": """
+SELECT l_returnflag AS run_name, 'baseline' AS stage, CAST(NULL AS VARCHAR) AS model_family,
+  CAST(count(*) AS DOUBLE) AS n, CAST(max(l_quantity) AS DOUBLE) AS most FROM lineitem GROUP BY l_returnflag""",
+    "json_safe_numbers": """
+SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(value AS DOUBLE) END AS x,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(value AS DOUBLE) END AS x0, CAST(2 AS INTEGER) AS n FROM events""",
+    "refresh_vectors": f"""
+SELECT chunk_id, sha256(text) AS sha256, round(a / sqrt(a*a + b*b + c*c), 9) AS v0, round(b / sqrt(a*a + b*b + c*c), 9) AS v1,
+  round(c / sqrt(a*a + b*b + c*c), 9) AS v2 FROM (
+  SELECT chunk_id, text, {keyword_sql("(source || chr(10) || lang || chr(10) || text)")} FROM (
+    SELECT printf('doc:%06d', doc_id) AS chunk_id, source, lang, {tidy('text')} AS text FROM documents WHERE source <> 'src7'))""",
     "vector_table_check": """
 SELECT r.rule, r.observed = 0 OR r.rule = 'row_count' AS passed, r.observed FROM (
   SELECT (SELECT count(*) FROM embeddings) AS n,

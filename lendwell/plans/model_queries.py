@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
 from lendwell.operators import contracts, evidence, shap, training, workflow
+from lendwell.operators.encode import ClassNames
+from lendwell.operators.ledger import Ledger
 from lendwell.operators.splits import stratified_folds, stratified_holdout
 from lendwell.plans.evidence_queries import ALLOWED_HOSTS, applications, policy_results
 from lendwell.plans.register_queries import normalized
 from lendwell.plans.sql import HASH, with_ctes
-from lendwell.session import scratch_path, shared_folder
+from lendwell.session import scratch_path, shared_folder, written
 from lendwell.sources import reports
 
 SPECS = training.session_specs()
 #: Raised when the training code, or the curated table, changes.
-MODEL_VERSION, DATASET_VERSION = "2", "curated-v2"
+MODEL_VERSION, DATASET_VERSION = "3", "curated-v2"
 #: What a saved scoring pipeline must hold, whatever was saved.
 STAGES = (
     "FeatureEngineer", "ValueImputerModel", "StringIndexerModel", "OneHotEncoderModel",
-    "VectorAssembler", "GBTClassificationModel",
+    "VectorAssembler", "ClassNames", "GBTClassificationModel",
 )
 CHAMPION = next(s for s in SPECS if s.run_name == "boosted_8x3_full")
 
@@ -57,7 +59,8 @@ def champion(spark, d):
 @cache
 def _benchmark(spark, d):
     train, holdout = split(spark, d)
-    return training.benchmark(SPECS, train, holdout, fv.CV_FOLDS)
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    return training.benchmark(SPECS, train, holdout, fv.CV_FOLDS, ledger, DATASET_VERSION)
 
 
 def inputs(spark, d) -> DataFrame:
@@ -84,24 +87,43 @@ def train_families(spark, d):
     keep = ("label", "encoded")
     encoded = encoder.transform(train).select(*keep).checkpoint()
     held_out = encoder.transform(holdout).select(*keep).checkpoint()
-    weighted = training.balanced_weights(encoded)
-    results = []
-    for name, family, params, weight in (
-        ("forest_20x5_balanced", "random_forest", {"trees": 20, "depth": 5}, "weight"),
-        ("boosted_8x3", "boosted_trees", {"trees": 8, "depth": 3, "rate": 0.3}, None),
-        ("boosted_5x4", "boosted_trees", {"trees": 5, "depth": 4, "rate": 0.2}, None),
-        ("logistic", "logistic", {}, None),
-    ):
-        spec = training.RunSpec(name, family, "full", "baseline", params)
-        estimator = training.make_estimator(family, params, weight)
-        model = PipelineModel([estimator.fit(weighted if weight else encoded)])
-        results.append(training.holdout_metrics(model, held_out, spec))
-    table = results[0]
-    for more in results[1:]:
-        table = table.unionByName(more)
+    classes, table = ClassNames(classes=training.label_classes(train)), None
+    for spec in training.family_specs():
+        weight = "weight" if spec.params.get("balanced") else None
+        estimator = training.make_estimator(spec.model_family, spec.params, weight)
+        fitted = estimator.fit(training.balanced_weights(encoded) if weight else encoded)
+        part = training.holdout_metrics(PipelineModel([classes, fitted]), held_out, spec)
+        table = part if table is None else table.unionByName(part)
     return table
 
 
+def shap_additivity(spark, d):
+    """A model of each kind, explained over all applications: do the contributions add up?"""
+    train, _ = split(spark, d)
+    encoder = training.encoder_pipeline("full", training.KEEP).fit(train)
+    encoded = encoder.transform(train).select("label", "encoded").checkpoint()
+    rows = encoder.transform(inputs(spark, d)).select("lar_id", "encoded").checkpoint()
+    classes, table = ClassNames(classes=training.label_classes(train)), None
+    for family, params in (("random_forest", {"trees": 5, "depth": 4}), ("boosted_trees", {"trees": 4, "depth": 3}), ("logistic", {})):
+        fitted = training.make_estimator(family, params).fit(encoded)
+        scored = training.score(PipelineModel([classes, fitted]), rows).select("lar_id", "encoded", "probability")
+        part = shap.additivity(shap.explain_rows(scored, fitted, encoded), fitted)
+        part = part.select(F.lit(family).alias("model_family"), F.lit(shap.shap_scale(fitted)).alias("scale"), "rows", "additive")
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
+def run_ledger(spark, d):
+    """What the grid's ledger holds: every run and fold, trained once."""
+    return _benchmark(spark, d)["ledger"].select("run_name", "model_family", "feature_config", "stage", "fold", "status")
+
+
+def grid_champion(spark, d):
+    """The grid's champion by its ledger, with what it must beat."""
+    best = _benchmark(spark, d)["champion"]
+    return best.select("run_name", "model_family", "cv_f1_mean", "cv_average_precision_mean", "cv_roc_auc_mean")
+
+
 def cv_metrics(spark, d):
     folds = training.encode_folds(split(spark, d)[0], fv.CV_FOLDS)
     return training.cross_validate(CHAMPION, folds)[0]
@@ -170,9 +192,13 @@ def local_evidence(spark, d):
 
 
 def prediction_xai_agree(spark, d):
-    model = champion(spark, d)
-    rows, _ = workflow.explain(model, inputs(spark, d))
-    return evidence.prediction_agreement(batch_score(spark, d), rows, "lar_id")
+    """Stored scores against what base value and contributions add up to."""
+    stored = written(batch_score(spark, d), "scores")
+    rows, _ = workflow.explain(champion(spark, d), inputs(spark, d))
+    total = F.col("base_value") + F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("probability", 1.0 / (1.0 + F.exp(-total)))
+    rows = rows.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    return evidence.prediction_agreement(stored, rows, "lar_id")
 
 
 def _evidence(spark, d):
@@ -203,7 +229,7 @@ def workflow_counters(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        train_families, cv_metrics, benchmark_summary, holdout_metrics, model_importance,
+        train_families, shap_additivity, run_ledger, grid_champion, cv_metrics, benchmark_summary, holdout_metrics, model_importance,
         batch_score, prediction_contract, shap_long, model_shap_global, local_evidence,
         prediction_xai_agree, evidence_batch, prompt_table, workflow_counters,
     )
@@ -219,7 +245,18 @@ _RUNS = ", ".join(
     for s in training.run_specs()
 )
 
+_TRAINED = ", ".join(
+    f"('{s.run_name}', '{s.model_family}', '{s.feature_config}', '{s.stage}')" for s in SPECS
+)
+
 SQL = {
+    "shap_additivity": with_ctes("norm", """
+SELECT k.*, (SELECT count(*) FROM norm) AS rows, true AS additive FROM (VALUES ('random_forest', 'probability'),
+  ('boosted_trees', 'log_odds'), ('logistic', 'log_odds')) k(model_family, scale)"""),
+    "prediction_xai_agree": with_ctes("norm", "SELECT lar_id, true AS agrees FROM norm"),
+    "run_ledger": f"""
+SELECT s.*, CAST(f.fold AS INTEGER) AS fold, 'done' AS status
+FROM (VALUES {_TRAINED}) s(run_name, model_family, feature_config, stage), range({fv.CV_FOLDS}) f(fold)""",
     "run_specs": with_ctes("norm", f"""
 , held AS (SELECT lar_id, LoanApproved FROM (
   SELECT lar_id, LoanApproved, count(*) OVER (PARTITION BY LoanApproved) AS n,

@@ -9,7 +9,7 @@ from lendwell import fixed_values as fv
 from lendwell.functions.cleaning import clean_marker, plain_code, target_of
 from lendwell.functions.features import code_label_by
 from lendwell.functions.text import is_official, url_host
-from lendwell.operators import contracts, population, profile, splits
+from lendwell.operators import contracts, dataset, population, profile, splits
 from lendwell.plans.sql import HASH, PREDICTOR_LIST, clean, unpivot, with_ctes
 from lendwell.session import scratch_path
 from lendwell.sources import register as files
@@ -107,21 +107,47 @@ def curated_roundtrip(spark, d):
     return files.scan_curated(spark, path, "csv")
 
 
-def build_dataset(spark, d, n: int = SAMPLE):
-    """Sample of `n` eligible applications with its class and missing-value profile."""
-    population.require_numbers(register(spark, d))
-    path = scratch_path(spark, "curated")
-    files.write_curated(
-        population.uniform_sample(normalized(spark, d), "lar_id", n), path,
-        limit_bytes=fv.CSV_SIZE_LIMIT,
-    )
-    data = files.scan_curated(spark, path)
-    contracts.require_dataset(data, n)
-    share = profile.missingness_by(data, fv.TARGET, fv.PREDICTORS)
-    counts = profile.class_distribution(data, fv.TARGET)
-    return share.join(counts, share["group_value"] == counts["value"]).select(
-        F.col("value").cast("int").alias("target"), "n", "proportion", "column_name", "missing_share"
-    )
+def _built(spark, d, n: int) -> dataset.Dataset:
+    return dataset.build_dataset(register(spark, d), scratch_path(spark, "curated"), n=n)
+
+
+def build_dataset(spark, d, n: int = fv.SAMPLE_SIZE):
+    """`n` eligible applications, or all where there are fewer, with their class
+    and missing-value profile, counted while they are written."""
+    return dataset.missing_by_target(spark, _built(spark, d, n))
+
+
+def dataset_metadata(spark, d, n: int = fv.SAMPLE_SIZE):
+    """Source counts, sampling, shape, classes, missing values and column roles of the same build."""
+    return dataset.metadata_frame(spark, _built(spark, d, n))
+
+
+def predictors_and_target(spark, d):
+    """The split into predictors and a checked target; audit-only columns are gone."""
+    rows = contracts.predictors_and_target(normalized(spark, d), ("lar_id",))
+    contracts.require_predictors([c for c in rows.columns if c not in ("lar_id", fv.TARGET)])
+    return rows
+
+
+#: First-generation columns as expressions over the given customers.
+V1_RULES = {
+    "Income": "c_acctbal", "LoanAmount": "c_acctbal * 3 - 2000", "Age": "CAST(18 + c_custkey % 60 AS DOUBLE)",
+    "CreditScore": "CAST(300 + c_custkey % 551 AS DOUBLE)", "YearsExperience": "CAST(c_custkey % 41 AS DOUBLE)",
+    "Gender": "CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END", "Education": "c_mktsegment",
+    "City": "CAST(c_nationkey AS STRING)", "EmploymentType": "CASE WHEN c_custkey % 3 = 0 THEN 'self' ELSE 'employed' END",
+    "LoanApproved": "CAST(CASE WHEN c_acctbal > 1000 THEN 1 ELSE 0 END AS TINYINT)",
+}
+
+
+def v1_table(spark, d):
+    """A first-generation table with negatives invalidated, checked, exported and read back."""
+    rows = table(spark, d, "customer").selectExpr("c_custkey", *(f"{rule} AS {c}" for c, rule in V1_RULES.items()))
+    rows = profile.invalidate_negatives(rows, list(fv.V1_INVALIDABLE))
+    contracts.require_v1_training_columns(rows.columns[1:])
+    contracts.require_binary_target(rows)
+    path = scratch_path(spark, "v1-csv")
+    files.write_table(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 # --- profile --------------------------------------------------------------
@@ -242,6 +268,7 @@ QUERIES = {
         scan_register, eligible_population, clean_markers, numeric_rejects, target_map,
         predictor_projection, dataset_contract_report, population_stats, reservoir_sample,
         stratified_holdout, stratified_kfold, curated_roundtrip, build_dataset,
+        dataset_metadata, predictors_and_target, v1_table,
         target_distribution, missingness_global, missingness_by_target, null_counts,
         duplicate_rows, describe_numeric, describe_applications, negative_counts,
         invalidate_negatives, abs_repair, correlation_matrix, histogram, category_counts,
@@ -310,6 +337,41 @@ FROM (SELECT column_name, count(value) AS distinct_values, 1 - present / CAST(to
       GROUP BY column_name, total, present, top)""")
 
 
+def _metadata() -> str:
+    def rows(section, values, source):
+        return "\nUNION ALL\n".join(
+            f"SELECT '{section}', '{name}', CAST({value} AS DOUBLE), NULL FROM {source}" for name, value in values.items()
+        )
+
+    def shares(where):
+        return {c: f"round(count(*) FILTER ({c} IS NULL) / CAST(count(*) AS DOUBLE), 6)" for c in fv.CURATED_COLUMNS}, f"s{where}"
+
+    parts = [
+        rows("population", {"source_rows": "count(*)"}, "lar"),
+        rows("population", {
+            "eligible_rows": "count(*)",
+            "eligible_denied": "count(*) FILTER (action_taken = '3')",
+            "eligible_approved": "count(*) FILTER (action_taken IN ('1', '2'))"}, "elig"),
+        rows("sampling", {"requested_rows": fv.SAMPLE_SIZE, "random_state": fv.SAMPLE_SEED}, "(SELECT 1)"),
+        rows("shape", {"rows": "count(*)", "columns": f"max({len(fv.CURATED_COLUMNS)})"}, "s"),
+        rows("missingness", *shares("")),
+    ]
+    for t in (0, 1):
+        hit = f"count(*) FILTER (LoanApproved = {t})"
+        parts += [
+            rows("target_count", {t: hit}, "s"),
+            rows("target_proportion", {t: f"round({hit} / CAST(count(*) AS DOUBLE), 6)"}, "s"),
+            rows(f"missingness_{t}", *shares(f" WHERE LoanApproved = {t}")),
+        ]
+    roles = [(c, r) for r, names in (("predictor", fv.PREDICTORS), ("audit_only", fv.AUDIT_ONLY), ("target", [fv.TARGET])) for c in names]
+    parts.append("SELECT 'role', name, CAST(NULL AS DOUBLE), role FROM (VALUES " + ", ".join(
+        f"('{c}', '{r}')" for c, r in roles) + ") r(name, role)")
+    union = "\nUNION ALL\n".join(parts)
+    return with_ctes("lar elig norm", f"""
+, s AS (SELECT * FROM norm ORDER BY {HASH}, lar_id LIMIT {fv.SAMPLE_SIZE})
+SELECT section, name, value, text FROM ({union}) m(section, name, value, text)""")
+
+
 _BIN = "least(floor((value - lo) / ((hi - lo) / 40)), 39)"
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
 
@@ -349,12 +411,17 @@ SELECT lar_id, LoanApproved, r <= round(n * 0.2) AS is_holdout FROM (
     row_number() OVER (PARTITION BY LoanApproved ORDER BY {HASH}, lar_id) AS r FROM norm)"""),
     "stratified_kfold": with_ctes("folded", "SELECT lar_id, LoanApproved, fold FROM folded"),
     "build_dataset": with_ctes("norm", f"""
-, s AS (SELECT * FROM norm ORDER BY {HASH}, lar_id LIMIT {SAMPLE}),
+, s AS (SELECT * FROM norm ORDER BY {HASH}, lar_id LIMIT {fv.SAMPLE_SIZE}),
 g AS (SELECT LoanApproved, count(*) AS n, {_shares(fv.PREDICTORS)} FROM s GROUP BY LoanApproved)
 SELECT CAST(g.LoanApproved AS INTEGER) AS target, g.n,
   round(g.n / CAST((SELECT count(*) FROM s) AS DOUBLE), 6) AS proportion, u.column_name, u.missing_share
 FROM g JOIN (UNPIVOT (SELECT LoanApproved, {PREDICTOR_LIST} FROM g) ON {PREDICTOR_LIST}
   INTO NAME column_name VALUE missing_share) u USING (LoanApproved)"""),
+    "dataset_metadata": _metadata(),
+    "predictors_and_target": with_ctes("norm", f"SELECT lar_id, {PREDICTOR_LIST}, LoanApproved FROM norm"),
+    "v1_table": "SELECT c_custkey, " + ", ".join(
+        f"CASE WHEN {rule} >= 0 THEN {rule} END AS {c}" if c in fv.V1_INVALIDABLE else f"{rule} AS {c}"
+        for c, rule in V1_RULES.items()) + " FROM customer",
     "target_distribution": with_ctes("norm", """
 SELECT CAST(LoanApproved AS INTEGER) AS value, count(*) AS n,
   round(count(*) / CAST((SELECT count(*) FROM norm) AS DOUBLE), 6) AS proportion

@@ -34,13 +34,13 @@ def stream_normalize(spark, d):
 def stream_counts(spark, d):
     out, checkpoint = _paths(spark)
     streams.stream_counts(_source(spark, d), out, checkpoint)
-    return spark.read.parquet(out).select(F.col(fv.TARGET).cast("int").alias("target"), "n")
+    return streams.latest_version(spark, out).select(F.col(fv.TARGET).cast("int").alias("target"), "n")
 
 
 def stream_sample(spark, d):
     state, checkpoint = _paths(spark)
     streams.stream_sample(_source(spark, d), "lar_id", SAMPLE, state, checkpoint)
-    return streams.latest_sample(spark, state)
+    return streams.latest_version(spark, state)
 
 
 def stream_scores(spark, d):

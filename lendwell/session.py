@@ -46,6 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lendwell/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path's own file system knows it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
 def task_slots(spark: SparkSession) -> int:
     """Shuffle width of the session; bucket counts scale with it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

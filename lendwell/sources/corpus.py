@@ -29,6 +29,28 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.explode("documents").alias("d")).select("d.*")
 
 
+def manifest_status(actual: DataFrame, manifest: DataFrame, key: str = "source_id") -> DataFrame:
+    """match / mismatch / new / missing for every document of the files or the manifest.
+
+    `actual` and `manifest` have `key` and `sha256`; only these meet in the join.
+    """
+    seen = actual.select(key, F.col("sha256").alias("_seen"), F.lit(True).alias("_here"))
+    listed = manifest.select(key, F.col("sha256").alias("_listed"), F.lit(True).alias("_known"))
+    status = (
+        F.when(F.col("_known").isNull(), "new")
+        .when(F.col("_here").isNull(), "missing")
+        .when(F.col("_listed") == F.col("_seen"), "match")
+        .otherwise("mismatch")
+    )
+    return seen.join(listed, key, "full_outer").select(key, status.alias("status"))
+
+
+def write_documents(rows: DataFrame, path: str, member: str, fields: Column, bucket: Column) -> None:
+    """JSON files that each hold a list of objects under `member`, a file per bucket."""
+    lists = rows.groupBy(bucket.alias("bucket")).agg(F.collect_list(fields).alias(member))
+    lists.select("bucket", F.to_json(F.struct(member)).alias("value")).write.partitionBy("bucket").text(path)
+
+
 def scan_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """One row per evaluation query, with the defaults of optional fields filled."""
     rows = spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path)

@@ -87,6 +87,11 @@ def written_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(target).getLength())
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Any cleaned table as CSV, its own columns in their order."""
+    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+
+
 def write_curated(
     df: DataFrame, path: str, fmt: str = "parquet", limit_bytes: int | None = None
 ) -> int:

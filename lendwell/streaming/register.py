@@ -39,8 +39,36 @@ def stream_normalized(register: DataFrame, key: str, out: str, checkpoint: str)
     _finish(rows.writeStream.format("parquet").outputMode("append").option("path", out), checkpoint)
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Committed versions of a versioned table: those whose write is marked as finished."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    marked = [
+        n for n in names
+        if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    ]
+    return sorted(int(n.removeprefix("version=")) for n in marked)
+
+
+def commit_version(rows: DataFrame, folder: str, version: int) -> None:
+    """Write one version beside the others. A committed one is never touched
+    again, so a replayed batch changes nothing and no reader loses its files."""
+    if version not in versions(rows.sparkSession, folder):
+        rows.write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def latest_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest committed version."""
+    found = versions(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"no committed version in {folder}")
+    return spark.read.parquet(f"{folder}/version={found[-1]}")
+
+
 def stream_counts(register: DataFrame, out: str, checkpoint: str) -> None:
-    """Running eligible rows per target; the table is replaced at every trigger."""
+    """Running eligible rows per target, a version of the table for every trigger."""
     ok = F.coalesce(is_eligible(), F.lit(False))
     counts = (
         register.where(ok)
@@ -48,10 +76,10 @@ def stream_counts(register: DataFrame, out: str, checkpoint: str) -> None:
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        commit_version(batch, out, batch_id)
 
-    _finish(counts.writeStream.outputMode("complete").foreachBatch(replace), checkpoint)
+    _finish(counts.writeStream.outputMode("complete").foreachBatch(commit), checkpoint)
 
 
 def stream_sample(
@@ -59,8 +87,8 @@ def stream_sample(
 ) -> None:
     """Uniform sample of `n` eligible rows over everything seen so far.
 
-    Version i of the sample is made from version i-1 and batch i alone and
-    overwrites itself, so a replayed batch changes nothing.
+    Version i of the sample is made from version i-1 and batch i alone, and is
+    written once, so a replayed batch changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -71,27 +99,12 @@ def stream_sample(
         rows = rows.withColumns({"_all": F.lit(1), "_h": hash_order(seed, F.col(key))})
         quota = F.least(F.col("_total"), F.lit(n))
         best = first_by_hash(rows, "_all", "_h", key, quota, "_take").where("_take")
-        best.drop("_all", "_h", "_take").write.mode("overwrite").parquet(
-            f"{state}/version={batch_id}"
-        )
+        commit_version(best.drop("_all", "_h", "_take"), state, batch_id)
 
     eligible = normalize(eligible_population(register), keep=(key,))
     _finish(eligible.writeStream.foreachBatch(merge), checkpoint)
 
 
-def latest_sample(spark: SparkSession, state: str) -> DataFrame:
-    """The newest version written by `stream_sample`."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(state)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [
-        int(f.getPath().getName().split("=")[1])
-        for f in fs.listStatus(root)
-        if f.getPath().getName().startswith("version=")
-    ]
-    return spark.read.parquet(f"{state}/version={max(versions)}")
-
-
 def stream_scores(
     register: DataFrame, key: str, model: PipelineModel, out: str, checkpoint: str
 ) -> None:
