@@ -26,6 +26,21 @@ CONTEXT = 48
 #: Score from which a span of a further kind is reported.
 REPORTED = 0.6
 
+#: Bits a character from which a mixed run counts as random.
+TOKEN_BITS = 4.0
+# Check letters and the openings of published key formats.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+KEY_FORMATS = "|".join((
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{36}",
+    r"glpat-[A-Za-z0-9_-]{20}",
+    r"xox[abprs]-[A-Za-z0-9-]{10,72}+",
+    r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,99}+",
+    r"AIza[A-Za-z0-9_-]{35}",
+))
+#: Kinds that give access rather than name a person.
+SECRETS = ("secret", "access_key", "signed_token", "private_key", "random_token")
+
 _LOCAL = "[A-Za-z0-9._%+\x01-]"
 _LABEL = "[A-Za-z0-9-]"
 
@@ -62,6 +77,48 @@ def _is_iban(hit: Column) -> Column:
     return F.length(code).between(15, 34) & (rest == 1)
 
 
+def _is_nir(hit: Column) -> Column:
+    """Mod-97 over thirteen digits; the two Corsican departments count as 19 and 18."""
+    code = F.translate(hit, " ", "")
+    code = F.replace(F.replace(code, F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18"))
+    body, key = F.substring(code, 1, 13).try_cast("long"), F.substring(code, 14, 2).try_cast("long")
+    return (F.length(code) == 15) & F.coalesce(97 - body % 97 == key, F.lit(False))
+
+
+def _is_dni(hit: Column) -> Column:
+    """The letter told by the number modulo 23; X, Y, Z before it count 0, 1, 2."""
+    number = F.translate(F.substring(hit, 1, 8), "XYZ", "012").try_cast("long")
+    letter = F.substring(F.lit(DNI_LETTERS), (number % 23 + 1).cast("int"), F.lit(1))
+    return F.coalesce(letter == F.substring(hit, 9, 1), F.lit(False))
+
+
+def _is_tax_id(hit: Column) -> Column:
+    """ISO 7064 mod 11,10; of the first ten digits one occurs twice or three times."""
+    digits = F.transform(F.split(F.translate(hit, " ", ""), ""), lambda c: F.ascii(c) - 48)
+    first = F.slice(digits, 1, 10)
+
+    def step(acc: Column, d: Column) -> Column:
+        s = (d + acc) % 10
+        return (F.when(s == 0, 10).otherwise(s) * 2) % 11
+
+    rest = F.aggregate(first, F.lit(10), step)
+    return F.size(F.array_distinct(first)).isin(8, 9) & ((11 - rest) % 10 == F.element_at(digits, 11))
+
+
+def _entropy(hit: Column) -> Column:
+    """Bits a character, from the counts of each distinct character."""
+    share = lambda c: (F.length(hit) - F.length(F.replace(hit, c, F.lit("")))) / F.length(hit)
+    return F.aggregate(
+        F.array_distinct(F.split(hit, "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))
+    )
+
+
+def _is_random(hit: Column) -> Column:
+    """Digits and letters of both cases, as evenly used as chance would."""
+    mixed = hit.rlike("[0-9]") & hit.rlike("[a-z]") & hit.rlike("[A-Z]")
+    return mixed & ~hit.rlike(f"^(?:{KEY_FORMATS})") & (_entropy(hit) >= TOKEN_BITS)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -74,6 +131,11 @@ class Kind:
     base: bool = False
 
 
+SECRET_WORDS = (
+    r"token|secret|secreto|passw|api[_ -]?key|credential|bearer|\bauth\b|authori[sz]ation"
+    r"|mot de passe|jeton|identifiants|contraseña|clave|credencial|passwort|kennwort|geheim|schlüssel|zugang"
+)
+
 KINDS = (
     Kind(
         "email",
@@ -82,7 +144,7 @@ KINDS = (
         rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@(?={_LABEL}++\x01)[A-Za-z0-9\x01-]++",
         lambda h: F.lit(True),
         0.9,
-        r"mail|contact|write|reach",
+        r"mail|contact|write|reach|correo|courriel|kontakt|schreib|escrib|écri",
         mark=rf"(?<={_LABEL})\.(?={_LABEL})",
         base=True,
     ),
@@ -92,7 +154,7 @@ KINDS = (
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         _is_ip,
         0.7,
-        r"\bip\b|address|host|server|login",
+        r"\bip\b|address|host|server|login|adresse|direcci[oó]n|serveur|servidor|rechner",
         base=True,
     ),
     Kind(
@@ -101,7 +163,7 @@ KINDS = (
         r"[0-9\x01]{13,}+",
         _is_card,
         0.8,
-        r"card|visa|master|credit|debit|pay",
+        r"card|visa|master|credit|debit|pay|carte|cr[eé]dit|tarjeta|pago|karte|zahl",
         mark=r"(?<=[0-9])[ -](?=[0-9])",
         base=True,
     ),
@@ -111,7 +173,7 @@ KINDS = (
         r"\+[0-9][ ().0-9-]+[0-9]",
         _is_phone,
         0.7,
-        r"phone|tel|call|fax|mobile|cell",
+        r"phone|tel|call|fax|mobil|cell|appel|portable|llam|m[oó]vil|anruf|handy",
         base=True,
     ),
     Kind(
@@ -120,7 +182,7 @@ KINDS = (
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         _is_iban,
         0.9,
-        r"iban|account|bank|transfer|konto|compte|cuenta",
+        r"iban|account|ban[kcq]|transfer|konto|compte|virement|cuenta|ueberweis|überweis",
     ),
     Kind(
         "national_id",
@@ -136,7 +198,63 @@ KINDS = (
         r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])",
         lambda h: h.rlike("[0-9]") & h.rlike("[a-f]"),
         0.4,
-        r"token|secret|passw|api[_ -]?key|credential",
+        SECRET_WORDS,
+    ),
+    Kind(
+        "nir",
+        r"[12] ?[0-9]{2} ?[01][0-9]",
+        r"(?<![0-9A-Za-z])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]) ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9A-Za-z])",
+        _is_nir,
+        0.6,
+        r"s[eé]curit[eé] sociale|num[eé]ro de s[eé]cu|\bnir\b|insee|assur[eé]",
+    ),
+    Kind(
+        "dni",
+        r"[0-9]{7}[A-Z]",
+        r"(?<![0-9A-Za-z])(?:[0-9]{8}|[XYZ][0-9]{7})[A-Z](?![0-9A-Za-z])",
+        _is_dni,
+        0.5,
+        r"\bdni\b|\bnie\b|\bnif\b|identidad|documento",
+    ),
+    Kind(
+        "tax_id",
+        r"[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}",
+        r"(?<![0-9])[1-9][0-9](?: ?[0-9]{3}){3}(?![0-9])",
+        _is_tax_id,
+        0.4,
+        r"steuer|idnr|\btin\b|tax id|finanzamt",
+    ),
+    Kind(
+        "access_key",
+        r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza",
+        rf"(?<![A-Za-z0-9_-])(?:{KEY_FORMATS})(?![A-Za-z0-9_-])",
+        lambda h: F.lit(True),
+        0.9,
+        SECRET_WORDS,
+    ),
+    Kind(
+        "signed_token",
+        r"eyJ[A-Za-z0-9_-]{8}",
+        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+        lambda h: F.lit(True),
+        0.9,
+        SECRET_WORDS,
+    ),
+    Kind(
+        "private_key",
+        r"-----BEGIN ",
+        r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----",
+        lambda h: F.lit(True),
+        0.95,
+        SECRET_WORDS,
+    ),
+    Kind(
+        "random_token",
+        r"[A-Za-z0-9+/_-]{24}",
+        r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{24,128}+={0,2}+(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])",
+        _is_random,
+        0.4,
+        SECRET_WORDS,
     ),
 )
 
@@ -198,7 +316,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Null and empty texts: no spans. Null doc_id: kept as null. Repeated rows:
     one result each. Empty table: empty result. Further columns are ignored.
-    Equal spans of two kinds are both reported.
+    Equal spans of two kinds are both reported. Very long texts are searched
+    whole, in linear time. Context words are those of the kind's own country and
+    of English, French, Spanish and German where the kind has no country.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", *[_spans(text, k).alias(k.name) for k in KINDS])
@@ -210,7 +330,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns: counts, checksum of the base spans, all spans as text."""
+    """The contract's columns: counts, checksum of the base spans, all spans as text; then
+    the number of all spans and of those that give access (`SECRETS`)."""
     written = lambda spans: F.array_join(
         F.transform(
             spans, lambda s: F.concat_ws(":", s.getField("kind"), s.getField("start").cast("string"), s.getField("end").cast("string"))
@@ -223,6 +344,8 @@ def digest(found: DataFrame) -> DataFrame:
         *[f"n_{name}" for name in base],
         F.sha2(written(F.filter("found", lambda s: s.getField("kind").isin(base))), 256).alias("base_sha256"),
         written(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
+        F.size(F.filter("found", lambda s: s.getField("kind").isin(*SECRETS))).cast("long").alias("n_secret"),
     )
 
 
