@@ -1,22 +1,23 @@
 """The curated dataset with its metadata, built in one pass over the register.
 
-Eligible rows are landed once; the write itself counts the register and its
-broken numbers. The sample is drawn from the landed rows, and its write counts
-classes and missing values. Nothing is read again to describe the dataset.
+The register is landed once, with a flag for eligible rows and for broken
+numbers; the flags are counted where they were landed, the sample is drawn from
+the eligible rows, and classes and missing values are counted in the written
+sample. Counting by `Observation` would leave the session unable to travel
+inside a fitted model's training summary, so that scoring fails.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
 from lendwell.functions.cleaning import is_bad_number, target_of
 from lendwell.operators.population import (
     REGISTER_NUMBERS,
-    eligible_population,
     is_eligible,
     normalize,
     uniform_sample,
@@ -62,27 +63,32 @@ def column_roles(df: DataFrame) -> dict[str, list[str]]:
     return roles
 
 
+ELIGIBLE = "_eligible"
+
+
 def land_population(register: DataFrame, key: str, path: str) -> dict[str, int]:
-    """Write the eligible, normalised rows; count the register on the way.
+    """Write the register's rows normalised, `ELIGIBLE` marking those that are; count them where they lie.
 
-    Raises where a numeric column of the register holds text.
+    Other rows carry their flags only. Raises where a numeric column of the
+    register holds text.
     """
-    seen = Observation()
-    ok = F.coalesce(is_eligible(), F.lit(False))
-    target = target_of("action_taken", "null")
-    counted = register.observe(
-        seen,
+    ok, bad = F.coalesce(is_eligible(), F.lit(False)), {c: f"_bad_{c}" for c in REGISTER_NUMBERS}
+    flags = {ELIGIBLE: ok, **{name: is_bad_number(c) for c, name in bad.items()}}
+    rows = normalize(register.withColumns(flags), (key, *flags))
+    rows = rows.select(*flags, *(F.when(F.col(ELIGIBLE), F.col(c)).alias(c) for c in rows.columns if c not in flags))
+    rows.write.parquet(path)
+    target = F.col(fv.TARGET)
+    landed = register.sparkSession.read.parquet(path)
+    found = landed.agg(
         F.count(F.lit(1)).alias("source_rows"),
-        F.count_if(ok).alias("eligible_rows"),
-        F.count_if(ok & (target == 0)).alias("eligible_denied"),
-        F.count_if(ok & (target == 1)).alias("eligible_approved"),
-        *(F.count_if(is_bad_number(c)).alias(f"bad {c}") for c in REGISTER_NUMBERS),
-    )
-    normalize(eligible_population(counted), (key,)).write.parquet(path)
-    found = seen.get
-    bad = {c: found.pop(f"bad {c}") for c in REGISTER_NUMBERS}
-    if any(bad.values()):
-        raise ValueError(f"values that are no numbers: { {c: n for c, n in bad.items() if n} }")
+        F.count_if(ELIGIBLE).alias("eligible_rows"),
+        F.count_if(F.col(ELIGIBLE) & (target == 0)).alias("eligible_denied"),
+        F.count_if(F.col(ELIGIBLE) & (target == 1)).alias("eligible_approved"),
+        *(F.count_if(name).alias(name) for name in bad.values()),
+    ).first().asDict()
+    broken = {c: found.pop(name) for c, name in bad.items()}
+    if any(broken.values()):
+        raise ValueError(f"values that are no numbers: { {c: n for c, n in broken.items() if n} }")
     return found
 
 
@@ -101,9 +107,10 @@ def build_dataset(
     rows = min(n, population["eligible_rows"])
     if not rows:
         raise ValueError("no eligible application")
-    seen, target = Observation(), F.col(fv.TARGET)
-    sample = with_roles(uniform_sample(spark.read.parquet(landed), key, rows, seed)).observe(
-        seen,
+    target = F.col(fv.TARGET)
+    eligible = spark.read.parquet(landed).where(ELIGIBLE).select(key, *fv.CURATED_COLUMNS)
+    size = write_curated(with_roles(uniform_sample(eligible, key, rows, seed)), path, limit_bytes=limit_bytes)
+    profile = spark.read.parquet(path).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(target.isNull()).alias("rows null"),
         *(F.count_if(target == t).alias(f"rows {t}") for t in (0, 1)),
@@ -112,9 +119,7 @@ def build_dataset(
             F.count_if(F.col(c).isNull() & (target == t)).alias(f"missing {c} {t}")
             for c in fv.CURATED_COLUMNS for t in (0, 1)
         ),
-    )
-    size = write_curated(sample, path, limit_bytes=limit_bytes)
-    profile = seen.get
+    ).first().asDict()
     if profile["rows"] != rows or profile["rows null"]:
         raise ValueError(f"{profile['rows']} rows of {rows}, {profile['rows null']} without a target")
     if not (profile["rows 0"] and profile["rows 1"]):

@@ -5,11 +5,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from lendwell.operators import dataset, shap, training
 from lendwell.operators import ledger as ledgers
-from lendwell.operators import shap, training
 from lendwell.operators.encode import ClassNames
+from lendwell.sources.tables import REGISTER_RULES
 
 
 def rows(spark, n=300):
@@ -117,3 +119,30 @@ def test_other_kinds_are_refused(spark):
         shap.explain_rows(df, model)
     with pytest.raises(TypeError):
         shap.read_leaves(LogisticRegression(featuresCol="encoded", labelCol="target").fit(df), spark)
+
+
+@pytest.mark.parametrize("family", ["random_forest", "logistic"])
+def test_models_score_in_a_session_that_observed_a_query(spark, family):
+    """A training summary holds the session, which can't travel once a query was observed."""
+    watched, seen = spark.newSession(), Observation()
+    watched.range(5).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 5}
+    df = rows(watched).withColumn("label", F.col("target").cast("double"))
+    fitted = training.make_estimator(family, {"trees": 3, "depth": 2}).fit(df)
+    model = training.detached(fitted)
+    assert not model.hasSummary
+    assert training.encoded_importances(model) == pytest.approx(training.encoded_importances(fitted))
+    assert model.transform(df).agg(F.avg("prediction")).first()[0] == pytest.approx(df.agg(F.avg("label")).first()[0], abs=0.2)
+    with pytest.raises(Exception, match="not serializable"):
+        fitted.transform(df).agg(F.avg("prediction")).first()
+
+
+def test_building_a_dataset_leaves_the_session_fit_for_scoring(spark, tmp_path):
+    fixed = {"activity_year": "'2023'", "action_taken": "if(id % 2 = 0, '1', '3')", "total_units": "'1'", "lar_id": "id"}
+    columns = (REGISTER_RULES | dict.fromkeys(REGISTER_RULES, "'2'") | fixed).items()
+    register = spark.range(40).selectExpr(*(f"{rule} AS {name}" for name, rule in columns))
+    built = dataset.build_dataset(register, str(tmp_path / "built"))
+    assert built.population == {"source_rows": 40, "eligible_rows": 40, "eligible_denied": 20, "eligible_approved": 20}
+    df = rows(spark)
+    model = RandomForestClassifier(featuresCol="encoded", labelCol="target", numTrees=3, maxDepth=2, seed=2).fit(df)
+    assert 0 < model.transform(df).agg(F.avg("prediction")).first()[0] < 1
