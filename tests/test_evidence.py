@@ -101,6 +101,16 @@ def test_long_forms(spark):
     assert {r["id"]: r["agrees"] for r in evidence.prediction_agreement(a, b, "id").collect()} == {1: True, 2: False, 3: False}
 
 
+def test_agreement_sends_no_side_to_the_driver(spark, tmp_path):
+    """Millions of scores compress to a file below Spark's broadcast limit; here any size would do."""
+    spark.range(50).selectExpr("id", "1 AS prediction", "0.5D AS probability").write.parquet(str(tmp_path / "scores"))
+    scores = spark.read.parquet(str(tmp_path / "scores"))
+    out = evidence.prediction_agreement(scores, scores.select("*"), "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.where("agrees").count() == 50
+
+
 def test_bad_limits():
     with pytest.raises(ValueError):
         evidence.policy_queries(None, 0)
