@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +101,15 @@ def test_kept_documents_have_the_input_columns(spark, judged):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.judge(df).count() == 0
+
+
+def test_counting_holds_little_beside_the_texts():
+    """A worker runs on every core, so what counting holds at once must not follow the batch."""
+    texts = pa.array(["some words of a long page in a line\n" * 300] * 1000)
+    quality.count_batch(texts.slice(0, 1))
+    tracemalloc.start()
+    counts = quality.count_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts["n_words"].tolist() == [2700] * 1000
+    assert peak < 16 << 20
