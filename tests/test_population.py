@@ -152,6 +152,13 @@ def test_curated_size_guard(spark, tmp_path):
         files.write_curated(good, path, "csv", limit_bytes=10)
 
 
+def test_every_application_value_is_looked_up_once(spark):
+    df = spark.range(1).select(F.concat(F.lit('{"income": '), F.col("id").cast("string"), F.lit("}")).alias("j"))
+    rows = contracts.validate_applications(df, "j").select("errors")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") + plan.count("variant_get(") <= 2 * 2 * len(fv.PREDICTORS)
+
+
 def test_applications_fail_closed(spark):
     import json
 
