@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
-from lendwell.functions.features import code_label
+from lendwell.functions.features import code_label, code_label_by
 from lendwell.operators import encode
 from lendwell.operators.features import engineer, feature_columns
 
@@ -56,6 +56,18 @@ def test_code_labels(spark):
         assert df.select(code_label(feature, "c")).first()[0] == label
 
 
+def test_label_by_feature_spells_the_code_once(spark):
+    names = [*fv.CODE_LABEL, "other", None]
+    df = spark.createDataFrame([(f, c) for f in names for c in ("1", " 2.0", "x", None)], "f string, c string")
+    df = df.withColumn("label", code_label_by(F.col("f"), F.col("c")))
+    for name in fv.CODE_LABEL:
+        own = df.where(F.col("f") == name)
+        assert own.where(~F.col("label").eqNullSafe(code_label(name, "c"))).count() == 0
+    assert df.where(~F.coalesce(F.col("f"), F.lit("")).isin(*fv.CODE_LABEL)).where("label is not null").count() == 0
+    lookups = df._jdf.queryExecution().analyzed().toString().count("element_at")
+    assert lookups == 2
+
+
 def test_imputer_and_unknown_categories(spark, tmp_path):
     train = spark.createDataFrame(
         [(1.0, "b"), (2.0, "a"), (3.0, "a"), (10.0, "b"), (None, None)], "x double, c string"
