@@ -13,12 +13,22 @@ from lendwell.sources.tables import register
 from lendwell.streaming import register as streams
 
 
+#: Triggers that read a landed register at most; each has a cost of its own.
+TRIGGERS = 8
+
+
+def files_per_trigger(files: int) -> int:
+    """Two files, or as many as leave no more than `TRIGGERS` triggers."""
+    return max(2, -(-files // TRIGGERS))
+
+
 def _source(spark, d):
-    """The register landed as several files, read two files per trigger."""
+    """The register landed as several files, read in several triggers."""
     landed = scratch_path(spark, "landed")
     rows = register(spark, d)
     rows.write.parquet(landed)
-    return streams.register_stream(spark, landed, rows.schema, 2)
+    files = len(spark.read.schema(rows.schema).parquet(landed).inputFiles())
+    return streams.register_stream(spark, landed, rows.schema, files_per_trigger(files))
 
 
 def _paths(spark):
