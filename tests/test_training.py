@@ -1,5 +1,6 @@
 """Classes by name, the run ledger, explanations by kind of model."""
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
@@ -8,9 +9,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from lendwell import fixed_values as fv
 from lendwell.operators import dataset, shap, training
 from lendwell.operators import ledger as ledgers
 from lendwell.operators.encode import ClassNames
+from lendwell.operators.features import FeatureEngineer
+from lendwell.plans import stream_queries
 from lendwell.sources.tables import REGISTER_RULES
 
 
@@ -146,3 +150,50 @@ def test_building_a_dataset_leaves_the_session_fit_for_scoring(spark, tmp_path):
     df = rows(spark)
     model = RandomForestClassifier(featuresCol="encoded", labelCol="target", numTrees=3, maxDepth=2, seed=2).fit(df)
     assert 0 < model.transform(df).agg(F.avg("prediction")).first()[0] < 1
+
+
+def test_features_are_computed_once_for_all_folds(spark, monkeypatch):
+    calls, transform = [], FeatureEngineer._transform
+    monkeypatch.setattr(FeatureEngineer, "_transform", lambda self, df: calls.append(1) or transform(self, df))
+    values = {c: F.lit("1") for c in fv.PREDICTORS} | {c: F.col("id") + 1.0 for c in fv.NUMERIC_COLUMNS}
+    train = spark.range(40).withColumns({c: v for c, v in values.items() if c in fv.PREDICTORS})
+    train = train.withColumns({"target": F.col("id") % 2, "fold": (F.col("id") % 4).cast("int")})
+    train = training.with_label(train.withColumnRenamed("id", "lar_id"), "target").drop("target")
+    folds = training.encode_folds(train, 4)
+    assert len(calls) == 1
+    assert [f.number for f in folds] == [0, 1, 2, 3]
+    assert [(f.train.count(), f.validation.count()) for f in folds] == [(30, 10)] * 4
+    assert training.label_classes(folds[0].train) == ["0", "1"]
+    once = training.engineered(train)
+    assert training.engineered(once) is once and len(calls) == 2
+
+
+def test_pattern_tables_give_the_values_of_every_leaf():
+    """Tabled leaves and deep ones agree; the kernel moves Arrow batches."""
+    rng = np.random.default_rng(1)
+    x = rng.random((50, 12))
+    leaves = [
+        shap.Leaf(v, np.array(f, dtype=np.int64), np.full(len(f), 0.3), np.full(len(f), 0.8), np.full(len(f), 0.4))
+        for v, f in ((1.0, [0, 3]), (-2.0, [1, 3, 5, 7]), (0.5, list(range(12))), (3.0, []))
+    ]
+    tables = [shap.pattern_values(leaf) for leaf in leaves]
+    assert [t is None for t in tables] == [False, False, True, True]
+    assert tables[1].shape == (16, 4)
+    got = shap.shap_matrix(x, leaves, tables)
+    assert np.allclose(got, shap.shap_matrix(x, leaves, [None] * len(leaves)))
+    inside = (x > 0.3) & (x <= 0.8)
+    total = sum(
+        leaf.value * (inside[:, leaf.features].all(axis=1) - 0.4 ** len(leaf.features)) for leaf in leaves
+    )
+    assert np.allclose(got.sum(axis=1), total)
+
+
+def test_explained_rows_pass_as_arrow(spark):
+    df = training.with_label(rows(spark), "target").select("id", "label", "encoded")
+    model = RandomForestClassifier(featuresCol="encoded", numTrees=2, maxDepth=2, seed=1).fit(df)
+    plan = shap.tree_shap(df, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_a_landed_register_is_read_in_few_triggers():
+    assert [stream_queries.files_per_trigger(n) for n in (1, 4, 16, 17, 800)] == [2, 2, 2, 3, 100]
