@@ -72,6 +72,44 @@ def test_guardrail_refuses(spark):
     assert guard(spark, [{}], errors=["e"])["reasons"] == [fv.MSG_PRIOR_ERRORS]
 
 
+def test_applications_carry_no_texts(spark):
+    """Texts are put back, or written into the prompt's JSON, after the guardrail; copies of a chunk keep their own."""
+    one, two, *_ = dict.fromkeys(fv.POLICY_QUERY.values())
+    rows = lambda *changes: [tuple((GOOD | c).values()) for c in changes]
+    found = spark.createDataFrame(
+        [(one, rows({"text": 'say "a"\n\u00e9'}, {"source_url": "http://x.org"}, {"text": "copy", "score": 0.25})),
+         (two, rows({"chunk_id": "b"}))],
+        f"query string, results array<{RESULT}>",
+    )
+    apps = spark.createDataFrame(
+        [(1, [], [("income", one), ("lien", two)], ["income"]), (2, [], [('l"', two)], ["x"]), (3, ["e"], [], [])],
+        "id int, errors array<string>, rag_queries array<struct<origin_feature:string,query:string>>, xai_features array<string>",
+    )
+    passages = evidence.check_passages(found)
+    keep = {"ignoreNullFields": "false"}
+    whole = evidence.evidence_guardrail(evidence.attach_policy(apps, passages))
+    whole = whole.withColumn("json", F.to_json("policy_evidence", keep))
+    light = evidence.evidence_guardrail(evidence.attach_policy(apps, evidence.without_texts(passages)))
+    assert "text" not in light.schema["policy_evidence"].dataType.elementType["results"].dataType.elementType.names
+    policy = F.col("policy_evidence")
+    light = light.withColumns(
+        {"json": evidence.policy_json(policy, passages), "policy_evidence": evidence.with_texts(policy, passages)}
+    )
+    assert light.columns == whole.columns
+    assert light.orderBy("id").collect() == whole.orderBy("id").collect()
+    assert light.where("id = 1").first()["policy_evidence"][0]["results"][1]["text"] == "copy"
+
+
+def test_searches_of_odd_factors(spark):
+    rows = [(1, [("income", [None]), ("income", None), (None, ["income"]), ("x", ["loan_type", "income"]), ("x", [])]),
+            (2, None), (3, [("x", ["loan_type"]), ("y", ["loan_type"])]), (4, [])]
+    df = spark.createDataFrame(rows, f"id int, {FACTORS}").coalesce(1)
+    got = {r[0]: r[1] for r in df.select("id", evidence.policy_queries(F.col("f"))).collect()}
+    assert got[2] is None and got[4] == []
+    assert [tuple(q) for q in got[1]] == [("x", fv.POLICY_QUERY["income"])]
+    assert [tuple(q) for q in got[3]] == [("x", fv.POLICY_QUERY["loan_type"])]
+
+
 def audit(spark, text, declared):
     df = spark.createDataFrame(
         [(text, "p", "f", declared, ["[S1]", "[S2]", "[S10]"], "approved", 0.75, [("[S1]",), ("[S2]",)], [])],

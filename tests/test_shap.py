@@ -83,3 +83,19 @@ def test_top_factors(spark):
     assert rows[1]["top_positive_factors"] == [] and len(rows[1]["top_negative_factors"]) == 1
     with pytest.raises(AssertionError):
         shap.make_slots([("derived_sex_x", "derived_sex", "x")])
+
+
+def test_top_factors_of_odd_rows(spark):
+    slots = shap.make_slots([("loan_type_1", "loan_type", "1"), ("income", "income", None)])
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [(1, None, [0.0, 1.0]), (2, [nan, None], [0.0, 1.0]), (3, [0.5, 0.5], [None, 2.0]), (4, [-1.0, -2.0], [1.0, 2.0])],
+        "id int, shap array<double>, encoded_values array<double>",
+    ).withColumns({"loan_type": F.lit("1"), "income": F.lit(None).cast("double")})
+    rows = shap.with_top_factors(df, slots, 1, {c: F.col(c) for c in ("income", "loan_type")})
+    got = {r["id"]: (r["top_positive_factors"], r["top_negative_factors"]) for r in rows.collect()}
+    assert got[1] == (None, None) and got[2] == ([], [])
+    (tie,), none = got[3]
+    assert none == [] and tie["slot"] == 0 and tie["encoded_value"] is None and tie["category_active"] is None
+    assert tie["feature"].endswith("(absent)") and tie["application_value"] == "1" and tie["raw_code"] == "1"
+    assert got[4][1][0]["slot"] == 1 and got[4][1][0]["application_value"] is None
