@@ -21,7 +21,7 @@ from lendwell.operators.splits import stratified_folds, stratified_holdout
 from lendwell.plans.evidence_queries import ALLOWED_HOSTS, applications, policy_results
 from lendwell.plans.register_queries import normalized
 from lendwell.plans.sql import HASH, with_ctes
-from lendwell.session import scratch_path, shared_folder, written
+from lendwell.session import compiled, scratch_path, shared_folder, written
 from lendwell.sources import reports
 
 SPECS = training.session_specs()
@@ -38,7 +38,8 @@ CHAMPION = next(s for s in SPECS if s.run_name == "boosted_8x3_full")
 @cache
 def population(spark, d) -> DataFrame:
     """All eligible applications, written once per session and scale."""
-    return written(normalized(spark, d), "population")
+    with compiled(spark):
+        return written(normalized(spark, d), "population")
 
 
 @cache
@@ -103,12 +104,24 @@ def train_families(spark, d):
     return table
 
 
+def encoded_applications(train: DataFrame, holdout: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All applications (lar_id, encoded), and the training rows among them (label, encoded).
+
+    Both parts of the split hold every application between them, so features and
+    vectors are computed once; the encoder is fitted on the training rows only.
+    """
+    features = training.engineered(train.unionByName(holdout, allowMissingColumns=True))
+    encoder, _ = training.fit_encoder(features.where(~F.col("is_holdout")))
+    encode = PipelineModel(encoder.stages[1:])
+    with compiled(train.sparkSession):
+        rows = encode.transform(features).select("lar_id", "is_holdout", "label", "encoded").checkpoint()
+    return rows.select("lar_id", "encoded"), rows.where(~F.col("is_holdout")).select("label", "encoded")
+
+
 def shap_additivity(spark, d):
     """A model of each kind, explained over all applications: do the contributions add up?"""
-    train, _ = split(spark, d)
-    encoder, encoded = training.fit_encoder(train)
-    encoded = encoded.select("label", "encoded").checkpoint()
-    rows = encoder.transform(inputs(spark, d)).select("lar_id", "encoded").checkpoint()
+    train, holdout = split(spark, d)
+    rows, encoded = encoded_applications(train, holdout)
     classes, table = ClassNames(classes=training.label_classes(train)), None
     for family, params in (("random_forest", {"trees": 5, "depth": 4}), ("boosted_trees", {"trees": 4, "depth": 3}), ("logistic", {})):
         fitted = training.detached(training.make_estimator(family, params).fit(encoded))

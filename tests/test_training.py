@@ -14,7 +14,8 @@ from lendwell.operators import dataset, shap, training
 from lendwell.operators import ledger as ledgers
 from lendwell.operators.encode import ClassNames
 from lendwell.operators.features import FeatureEngineer
-from lendwell.plans import stream_queries
+from lendwell.plans import model_queries, stream_queries
+from lendwell.session import COMPILED_BYTES, compiled
 from lendwell.sources.tables import REGISTER_RULES
 
 
@@ -197,3 +198,41 @@ def test_explained_rows_pass_as_arrow(spark):
 
 def test_a_landed_register_is_read_in_few_triggers():
     assert [stream_queries.files_per_trigger(n) for n in (1, 4, 16, 17, 800)] == [2, 2, 2, 3, 100]
+
+
+def test_additivity_computes_the_features_of_every_application_once(spark, monkeypatch):
+    calls, transform = [], FeatureEngineer._transform
+    limit, limits = "spark.sql.codegen.hugeMethodLimit", []
+
+    def engineer(self, df):
+        calls.append(1)
+        limits.append(int(spark.conf.get(limit)))
+        return transform(self, df)
+
+    monkeypatch.setattr(FeatureEngineer, "_transform", engineer)
+    values = {c: F.lit("1") for c in fv.PREDICTORS} | {c: F.col("id") + 1.0 for c in fv.NUMERIC_COLUMNS}
+    everyone = spark.range(60).withColumns({c: v for c, v in values.items() if c in fv.PREDICTORS})
+    # Keys repeat and are null.
+    everyone = everyone.withColumn("lar_id", F.when(F.col("id") > 3, F.col("id") % 40))
+    marked = training.with_label(everyone.withColumn("target", F.col("id") % 2), "target").drop("target")
+    marked = marked.withColumn("is_holdout", F.col("id") % 3 == 0)
+    train = marked.where("NOT is_holdout").withColumn("fold", (F.col("id") % 5).cast("int")).drop("id")
+    holdout = marked.where("is_holdout").drop("id")
+    monkeypatch.setattr(model_queries, "split", lambda spark, d: (train, holdout))
+    monkeypatch.setattr(model_queries, "population", lambda spark, d: everyone.drop("id"))
+    before = spark.conf.get(limit)
+    got = model_queries.shap_additivity(spark, "").collect()
+    assert [(r["rows"], r["additive"]) for r in got] == [(60, True)] * 3
+    assert len(calls) == 1 and limits == [COMPILED_BYTES]
+    rows, encoded = model_queries.encoded_applications(train, holdout)
+    assert (rows.count(), encoded.count()) == (60, 40)
+    assert spark.conf.get(limit) == before
+
+
+def test_a_plan_runs_compiled_and_the_session_keeps_its_own_limit(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    with pytest.raises(RuntimeError), compiled(spark):
+        assert spark.conf.get(limit) == str(COMPILED_BYTES)
+        raise RuntimeError
+    assert spark.conf.get(limit) == before
