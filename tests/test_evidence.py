@@ -1,9 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
 from lendwell.functions.text import citation_id, citations_changed, citations_fixed, citations_in
-from lendwell.operators import evidence
+from lendwell.operators import contracts, evidence
+from lendwell.plans import model_queries
+from lendwell.session import COMPILED_BYTES
 
 FACTORS = "f array<struct<model_feature:string, source_features:array<string>>>"
 
@@ -152,3 +156,35 @@ def test_agreement_sends_no_side_to_the_driver(spark, tmp_path):
 def test_bad_limits():
     with pytest.raises(ValueError):
         evidence.policy_queries(None, 0)
+
+
+def test_a_request_looks_every_value_up_once_as_type_and_once_as_text(spark, monkeypatch):
+    lookups, get = [], F.try_variant_get
+    monkeypatch.setattr(F, "try_variant_get", lambda *a: lookups.append(a[1:]) or get(*a))
+    values = {c: "1" for c in fv.PREDICTORS}
+    odd = [values | {"income": "1e5", "loan_type": 1.5}, values | {"income": True, "loan_term": "NaN", "loan_type": "x"}]
+    texts = [json.dumps(v) for v in odd] + ["[1]", "3", "{", '{"income": 1, "income": 2}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    checked = contracts.validate_applications(df, "j").orderBy("i")
+    assert len(lookups) == len(set(lookups)) == 2 * len(fv.PREDICTORS)
+    got = [r["errors"] for r in checked.collect()]
+    assert got[0] == ["loan_type: invalid value"]
+    assert got[1] == ["income: invalid value", "loan_term: invalid value"]
+    assert got[2:] == [[fv.MSG_NOT_OBJECT]] * 5
+
+
+def test_evidence_is_read_by_compiled_plans(spark, monkeypatch):
+    """The caller runs the plan, so the session keeps the limit; a lower one of its own stays."""
+    seen, limit = [], "spark.sql.codegen.hugeMethodLimit"
+    names = {"population": None, "applications": None, "champion": None, "policy_results": None}
+    for name in names:
+        monkeypatch.setattr(model_queries, name, lambda *_: None)
+    monkeypatch.setattr(model_queries.workflow, "evidence_run", lambda *_, **__: seen.append(int(spark.conf.get(limit))))
+    before = spark.conf.get(limit)
+    try:
+        for given, kept in ((65535, COMPILED_BYTES), (500, 500)):
+            spark.conf.set(limit, str(given))
+            model_queries._evidence(spark, "")
+            assert seen.pop() == kept == int(spark.conf.get(limit))
+    finally:
+        spark.conf.set(limit, before)
