@@ -10,10 +10,10 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lendwell import fixed_values as fv
-from lendwell.operators import dataset, shap, training
+from lendwell.operators import dataset, encode, shap, training
 from lendwell.operators import ledger as ledgers
 from lendwell.operators.encode import ClassNames
-from lendwell.operators.features import FeatureEngineer
+from lendwell.operators.features import CONFIGURATIONS, FeatureEngineer
 from lendwell.plans import model_queries, stream_queries
 from lendwell.session import COMPILED_BYTES, compiled
 from lendwell.sources.tables import REGISTER_RULES
@@ -236,3 +236,24 @@ def test_a_plan_runs_compiled_and_the_session_keeps_its_own_limit(spark):
         assert spark.conf.get(limit) == str(COMPILED_BYTES)
         raise RuntimeError
     assert spark.conf.get(limit) == before
+
+
+def test_configurations_share_the_encoders_of_a_fold(spark, monkeypatch, tmp_path):
+    """A fold's encoder is fitted once; a narrower configuration gets the vectors of its own fit."""
+    fits, fit = [], encode.ValueImputer._fit
+    monkeypatch.setattr(encode.ValueImputer, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    values = {c: F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")) for c in fv.PREDICTORS}
+    values |= {c: F.when(F.col("id") % 4 > 0, F.col("id") + 1.0) for c in fv.NUMERIC_COLUMNS}
+    train = spark.range(60).withColumns({c: v for c, v in values.items() if c in fv.PREDICTORS})
+    train = train.withColumns({"target": F.col("id") % 2, "fold": (F.col("id") % 2).cast("int")})
+    train = training.engineered(training.with_label(train.withColumnRenamed("id", "lar_id"), "target").drop("target"))
+    full, reduced = CONFIGURATIONS
+    specs = [training.RunSpec(f"t_{c}", "boosted_trees", c, "baseline", {"trees": 1, "depth": 1}) for c in (reduced, full)]
+    ledgers.train_runs(specs, train, 2, ledgers.Ledger(spark, f"{tmp_path}/ledger"))
+    assert len(fits) == 2
+    wide = {f.number: f.encoder for f in training.encode_folds(train, 2, full)}
+    own, shared = training.encode_folds(train, 2, reduced), training.encode_folds(train, 2, reduced, fitted=wide)
+    for a, b in zip(own, shared):
+        assert a.names == b.names
+        for x, y in ((a.train, b.train), (a.validation, b.validation)):
+            assert sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
